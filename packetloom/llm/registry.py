@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, pii, warc
+from . import licenses, minhash, mixing, pii, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, warc.planted_replica(pages))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_fixity, op4_pii, op5_mixing, op8_licenses)}
+    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op4_pii, op5_mixing, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
