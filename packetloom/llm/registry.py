@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, mixing, pii, warc
+from . import licenses, minhash, mixing, pii, topk, warc
 from .common import table
 
 
@@ -31,9 +31,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op4_pii, op5_mixing, op8_licenses)}
+    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op4_pii, op5_mixing, op7_topk, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.oracle()}
+    return {"op1_warc_fixity": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.oracle(), "op7_topk": topk.ORACLE}
