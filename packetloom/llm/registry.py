@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, minhash, mixing, pii, topk, warc
+from . import decontam, langid, licenses, minhash, mixing, pii, topk, warc
 from .common import table
 
 
@@ -39,8 +39,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs := table(spark, sf_dir, "documents"), langid.fit(docs))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op4_pii, op5_mixing, op7_topk, op8_licenses, op9_langid)}
+    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op3_decontam, op4_pii, op5_mixing, op7_topk, op8_licenses, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
