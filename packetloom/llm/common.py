@@ -54,6 +54,8 @@ def n_words(text: Column) -> Column:
 # ------------------------------------------------------------------ numpy text kit
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: All ASCII but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -110,10 +112,10 @@ def pieces(texts: pa.Array, limit: int = SUB_BATCH_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of the texts in a piece: start, end, text number and a 64-bit hash of each, ASCII lower case."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE):
         self.buf, self.off = TO_LOWER[buf], off
         n = len(buf)
-        word = ~SPACE[buf]
+        word = ~between[buf]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = word[:-1], word[1:]
         edge = off[(off > 0) & (off < n)]
