@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, lm, minhash, mixing, pii, topk, warc
+from . import decontam, langid, licenses, lm, minhash, mixing, pii, suffixes, topk, warc
 from .common import table
 
 
@@ -47,8 +47,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op3_decontam, op4_pii, op5_mixing, op7_topk, op8_licenses, op9_langid, op10_lm)}
+    return {f.__name__: f for f in (op1_warc_fixity, op2_minhash, op3_decontam, op4_pii, op5_mixing, op6_suffixes, op7_topk, op8_licenses, op9_langid, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
