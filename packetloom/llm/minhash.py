@@ -16,7 +16,7 @@ from .components import components
 BANDS, ROWS, BITS = 24, 4, 2
 K = BANDS * ROWS
 FIELDS = 64 // BITS
-BLOCK = 2048
+BLOCK_SHINGLES = 500_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 A = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 B = _rng.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
@@ -112,28 +112,32 @@ def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return p.select("a", "b", "est")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those with den * intersection >= num * union on full sets.
+def with_sets(goes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(at, c, s): for each class of ``goes`` (c, doc_id, key, at: longs) its sorted shingle hashes, once for each of ``at``.
 
-    Sets are made again from the texts of the classes concerned: the text of a meets b's key, then
-    b's set, so each set moves once a pair and no more than one pair's sets are held at a time.
+    Sets are made again from the text of the class's document, so that they are never stored for all documents.
     """
-    rep = classes.select("c", F.col("d").alias("doc_id"), "key")
-    goes = pairs.select(F.col("a").alias("c"), F.col("b").alias("at")).union(pairs.select("b", "b").distinct())
-    goes = goes.join(rep, "c").groupBy("doc_id", "c", "key").agg(F.collect_list("at").alias("at"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, key, at = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            rows = []
-            for i, s in enumerate(shingle_sets(batch.column(3), k)):
-                if set_key(s) == key[i]:
-                    rows += [(a, c[i], s.tobytes()) for a in at[i]]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["at", "c", "s"])
+            for a in range(0, batch.num_rows, 64):
+                rows = []
+                for i, s in enumerate(shingle_sets(batch.column(3).slice(a, 64), k), a):
+                    if set_key(s) == key[i]:
+                        rows += [(x, c[i], s.tobytes()) for x in at[i]]
+                cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["at", "c", "s"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    made = texts.join(goes, "doc_id").select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
+    return texts.join(goes, "doc_id").select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those with den * intersection >= num * union on full sets; a's set goes to b's, once a pair."""
+    rep = classes.select("c", F.col("d").alias("doc_id"), "key")
+    goes = pairs.select(F.col("a").alias("c"), F.col("b").alias("at")).union(pairs.select("b", "b").distinct())
+    goes = goes.join(rep, "c").groupBy("doc_id", "c", "key").agg(F.collect_list("at").alias("at"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +150,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num
                 ok[i] = den * common >= num * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    made = written(made, "minhash_sets")
+    made = written(with_sets(goes, docs, k), "minhash_sets")
     x, y = made.filter("c <> at").select(F.col("c").alias("a"), F.col("at").alias("b"), F.col("s").alias("x")), made.filter("c = at").select(F.col("c").alias("b"), F.col("s").alias("y"))
     return x.join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
@@ -158,46 +162,62 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return p.filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).drop("l_a", "l_b")
 
 
-def leftovers(bands: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one bucket that no star edge covers and that lie in different components.
-
-    Buckets whose classes are all in one component need nothing more. The rest are cut into blocks
-    of BLOCK classes; each pair of blocks is one bounded row, compared by packed signatures.
+def cell_links(c: np.ndarray, label: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
+    """Links between members of different components that join components; overlaps are counted over posting lists."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+    element = np.empty(len(flat), np.int64)
+    element[order] = np.cumsum(new) - 1
+    start = np.append(np.flatnonzero(new), len(flat))
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    own = np.concatenate(([0], np.cumsum(size)))
+    _, group = np.unique(label, return_inverse=True)
+    skip = np.bincount(group).argmax()
+    a_out, b_out = [], []
+    for y in np.flatnonzero(group != skip):
+        e = element[own[y] : own[y + 1]]
+        n = start[e + 1] - start[e]
+        at = np.cumsum(n) - n
+        common = np.bincount(owner[np.arange(int(n.sum())) + np.repeat(start[e] - at, n)], minlength=len(sets))
+        hit = np.flatnonzero((group != group[y]) & (den * common >= num * (size + size[y] - common)))
+        for g in np.unique(group[hit]):
+            x = hit[group[hit] == g][0]
+            a_out.append(int(c[y]))
+            b_out.append(int(c[x]))
+            group[group == g] = group[y]
+    return a_out, b_out
+
+
+def leftovers(bands: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that star edges miss: between classes that share a bucket and lie in different components.
+
+    Buckets whose classes are all in one component need nothing more. Components that meet in the
+    others form a cluster, whose classes are dealt over blocks of about BLOCK_SHINGLES; each pair of
+    blocks is one task's group of bounded size, in which overlaps of full sets are counted, and only
+    links that join components leave it. A set moves once for each block of its cluster.
     """
-    low = least_estimate(num / den)
     m = bands.join(comp.select(F.col("node").alias("c"), "label"), "c", "left").select("band", "c", F.coalesce("label", "c").alias("label"))
-    mixed = m.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("c").alias("rep")).filter("lo <> hi and size > 2").drop("lo", "hi")
-    m = m.join(mixed, "band").filter("c <> rep").join(classes.select("c", "n", "sig"), "c")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = m.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cell = m.groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("c", "label", "n", F.col("sig")[0].alias("s0"), F.col("sig")[1].alias("s1"), F.col("sig")[2].alias("s2"))).alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = np.uint64(sum(1 << (BITS * i) for i in range(FIELDS)))
-        for batch in batches:
-            out_a, out_b = [], []
-            rows = batch.column(0)
-            flat, off = rows.flatten(), rows.offsets.to_numpy()
-            off = off - off[0]
-            c, label, n, *sig = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
-            sig = [s.view(np.uint64) for s in sig]
-            for i, j in zip(off[:-1], off[1:], strict=True):
-                for x in range(i, j - 1):
-                    y = slice(x + 1, j)
-                    ok = (label[y] != label[x]) & (np.minimum(n[y], n[x]) * den >= np.maximum(n[y], n[x]) * num)
-                    if ok.any():
-                        differ = np.zeros(j - x - 1, np.int64)
-                        for s in sig:
-                            z = s[y] ^ s[x]
-                            z |= z >> np.uint64(1)
-                            differ += np.bitwise_count(z & spread)
-                        est = (1 - differ / K - 2.0**-BITS) / (1 - 2.0**-BITS)
-                        hit = c[y][ok & (est >= low)]
-                        out_a += [np.minimum(hit, c[x])]
-                        out_b += [np.maximum(hit, c[x])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else np.zeros(0, np.int64), pa.int64()) for z in (out_b, out_a)], ["a", "b"])
-
-    return cell.select("rows").mapInArrow(run, "a long, b long").distinct()
+    mixed = m.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("band", "lo")
+    m = written(m.join(mixed, "band").select("c", "label", "lo").distinct(), "minhash_mixed")
+    cluster = components(m.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    m = m.select("c", "label").distinct().join(cluster, "label").join(classes.select("c", "n", "key", F.col("d").alias("doc_id")), "c")
+    m = written(m, "minhash_members")
+    sizes = m.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    m = m.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
+    goes = m.select("doc_id", "c", "key", F.transform(at, lambda x: F.xxhash64("cluster", x)).alias("at"))
+    made = with_sets(goes, docs, k).join(m.select("c", "label"), "c")
+
+    def run(t: pa.Table) -> pa.Table:
+        c, label = t["c"].to_numpy(), t["label"].to_numpy()
+        if len(np.unique(label)) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = cell_links(c, label, [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]], num, den)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return made.groupBy("at").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -207,8 +227,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     fewer words is one shingle, a null or empty one has none, is linked with nothing and is its own
     component. Texts of equal sets are one class, which enters the search once, however many copies
     it has. Classes that share a band are linked to the least class of the bucket; where estimates
-    allow it the full sets decide, and pairs of a bucket that these star edges do not join are
-    compared in a second step, so no link that a band proposes is lost (bands propose a pair at
+    allow it the full sets decide, and classes of a bucket that these star edges leave in different
+    components are compared in a second step, so no link that a band proposes is lost (bands propose a pair at
     0.8 with 1 - 4e-6, at 0.85 with 1 - 3e-8). component_id is the least doc_id of a component;
     repeated rows are kept or dropped alike. A null doc_id has component_id null if it is alone.
     """
@@ -225,10 +245,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rest = written(apart(stars.select("a", "b"), comp), "minhash_rest")
     links = _extended(links, rest.join(first, ["a", "b"], "left_anti"), classes, docs, k, num, den)
     comp = written(components(links), "minhash_components")
-    more = written(leftovers(bands, comp, classes, num, den), "minhash_leftovers")
-    final = _extended(links, more, classes, docs, k, num, den)
-    if final is not links:
-        comp = written(components(final), "minhash_components")
+    more = written(leftovers(bands, comp, classes, docs, k, num, den), "minhash_leftovers")
+    if more.take(1):
+        comp = written(components(links.union(more)), "minhash_components")
     of = classes.join(comp, classes["c"] == comp["node"], "left").select("key", "d", F.coalesce("label", "c").alias("label"))
     least = of.groupBy("label").agg(F.min("d").alias("component_id"))
     of = of.join(least, "label").select("key", "component_id")
