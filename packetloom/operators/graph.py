@@ -141,7 +141,7 @@ def _local(e: DataFrame, alpha: float, weight: str, max_iter: int, tol: float, p
         return pd.DataFrame({"id": ids, "rank": x})
 
     _weight(weight)
-    return e.groupBy(F.lit(1)).applyInPandas(run, "id string, rank double")
+    return e.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id string, rank double")
 
 
 def _joined(e: DataFrame, alpha: float, weight: str, max_iter: int, tol: float, personal: dict[str, float] | None) -> DataFrame:
@@ -185,7 +185,7 @@ def stationary(e: DataFrame, weight: str = "packets", max_iter: int = 1000, tol:
         x, _, ok = _power(s[use], d[use], w[use] / total[s[use]], len(ids), 1.0, np.zeros(len(ids)), max_iter, tol)
         return pd.DataFrame({"id": ids, "rank": x}) if ok else pd.DataFrame({"id": pd.Series([], dtype=str), "rank": pd.Series([], dtype=float)})
 
-    return e.groupBy(F.lit(1)).applyInPandas(run, "id string, rank double")
+    return e.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id string, rank double")
 
 
 def betweenness(e: DataFrame, weight: str = "packets", normalised: bool = True, most: int = BETWEENNESS_NODES) -> DataFrame:
