@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net
-from ..operators import alerts, cleaning, graph, history, itemsets, sketches, windows
+from ..operators import alerts, cleaning, graph, history, itemsets, membership, sketches, windows
 from ..sources import packets as src
+from ..streaming.sinks import finished
 from ..streaming.stateful import counting_ones_dgim
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,9 +401,18 @@ def pagerank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b.withColumnRenamed("rank", "other"), "id", "full").select("id", (F.abs(F.col("rank") - F.col("other")) < 1e-9).alias("agree"))
 
 
-@query()
+@query(f"{TE} SELECT id, true AS settled FROM v")
 def stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.stationary(reply_edges(spark, sf_dir), max_iter=2000).select("id", F.round("rank", 6).alias("rank"))
+    """The stationary distribution, by whether a further step leaves it; suppliers also stay, or the graph would alternate."""
+    e = reply_edges(spark, sf_dir)
+    e = e.unionByName(e.filter("src like 's%'").groupBy("src").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")).withColumn("dst", F.col("src")))
+    e = e.persist()
+    x, t = graph.stationary(e), graph.transitions(e)
+    loose = x.join(t.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+    n = x.agg(F.count(F.lit(1)).alias("n"))
+    flow = t.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("flow"))
+    both = x.join(flow, "id", "left").join(F.broadcast(loose)).join(F.broadcast(n))  # one row each
+    return both.select("id", (F.abs(F.coalesce("flow", F.lit(0.0)) + F.col("loose") / F.col("n") - F.col("rank")) < 1e-6).alias("settled"))
 
 
 @query()
@@ -514,3 +524,22 @@ def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generate_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = cleaning.clean(src.generate(spark))
     return v.agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and(F.col("packet_length").between(60, 1500)).alias("in_range"), F.bool_and("is_valid").alias("only_known"))
+
+
+@query(f"{P} SELECT event_id FROM p WHERE event_id % 7 = 0")
+def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = packets(spark, sf_dir).select("event_id")
+    kept = membership.probe(d, "event_id", membership.bloom(d.filter("event_id % 7 = 0"), "event_id", 1 << 22), 1 << 22)
+    return kept.filter("event_id % 7 = 0")
+
+
+@query(f"{TE}, u AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM t a JOIN t b ON a.dst = b.src GROUP BY 1, 2) SELECT src, dst, round(p, 6) AS p FROM u")
+def markov_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.two_step(reply_edges(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ the same plans over a stream
+for _table, _build in (("window_metrics", windows.window_metrics), ("protocol_counts", windows.protocol_counts), ("port_counts", windows.port_counts)):
+    query(ORACLES[_table], f"stream_{_table}")(lambda spark, sf_dir, f=_build: finished(f(src.stream_events(spark, sf_dir), HOUR)))
+for _table, _build in (("ip_edges", windows.ip_edges), ("source_stats", windows.source_stats), ("filter_counts", lambda d, n: windows.filter_counts(d, length_s=n))):
+    query(ORACLES[_table], f"stream_{_table}")(lambda spark, sf_dir, f=_build: finished(f(src.stream_events(spark, sf_dir), DAY)))

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows here are often whole documents: Arrow batches of Spark's default 10000 would not fit small workers.
+BATCH_ROWS = 512
 PACKAGE = Path(__file__).resolve().parent
 
 
@@ -23,7 +25,7 @@ def get_spark(app_name: str = "packetloom", master: str = "local[*]", **conf: ob
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once a context, so that Python workers can import it anywhere."""
+    """Send this package to the executors once a context, so that Python workers can import it anywhere; bound Arrow batches."""
     sc = spark.sparkContext
     if getattr(sc, "_packetloom_shipped", None):
         return spark
@@ -34,5 +36,7 @@ def ship(spark: SparkSession) -> SparkSession:
         for f in sorted(PACKAGE.rglob("*.py")):
             z.write(f, f"{PACKAGE.name}/{f.relative_to(PACKAGE)}")
     sc.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc._packetloom_shipped = True
     return spark

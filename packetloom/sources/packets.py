@@ -21,9 +21,10 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_schema()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", "true").csv(path)
 
 
-def stream_packets(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """The same as a stream of files as they arrive."""
+def stream_packets(spark: SparkSession, path: str, max_files: int = 100, archive: str | None = None) -> DataFrame:
+    """The same as a stream of files as they arrive; with ``archive``, files that are done move there."""
     r = spark.readStream.schema(_schema()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive) if archive else r
     return r.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").csv(path)
 
 
@@ -125,23 +126,31 @@ def restamp(df: DataFrame, start_epoch: float, speed: float = 1.0, by: list[str]
     return df.withColumns({"timestamp": F.date_format(F.timestamp_millis(at.cast("long")), "yyyy-MM-dd HH:mm:ss.SSS"), "iat_ms": F.round("__gap", 3)}).drop("__at", "__gap")
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as packets with event_time and event_id."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kind = F.col("event_type")
+def packets_of(e: DataFrame) -> DataFrame:
+    """``events`` rows, of a batch or a stream, as packets with event_time and event_id."""
+    kind, user = F.col("event_type"), F.col("user_id")
     protocol = F.when(kind == "signup", "UDP").when(kind == "error", "ICMP").otherwise("TCP")
     port = F.when(kind == "click", 443).when(kind == "view", 80).when(kind == "purchase", 8443).when(kind == "signup", 53)
-    user = F.col("user_id")
-    at = F.col("ts").cast("timestamp")
-    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     return e.select(
-        "event_id", at.alias("event_time"), F.concat(F.lit("10.0."), F.expr("user_id div 256").cast("string"), F.lit("."), (user % 256).cast("string")).alias("src_ip"),
+        "event_id", F.col("ts").cast("timestamp").alias("event_time"), F.concat(F.lit("10.0."), F.expr("user_id div 256").cast("string"), F.lit("."), (user % 256).cast("string")).alias("src_ip"),
         F.concat(F.lit("198.51.100."), F.regexp_extract("props", r"\d+", 0)).alias("dst_ip"), protocol.alias("protocol"), port.cast("int").alias("dst_port"),
         F.least(F.lit(65535), F.greatest(F.lit(1), F.floor(F.col("value") * 10))).cast("int").alias("packet_length"),
-        ((F.unix_micros(at) - F.unix_micros(F.lag(at).over(day))) / 1000.0).alias("iat_ms"),
     )
 
 
+def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as packets; iat_ms is the time since the packet before, by source and day."""
+    day = Window.partitionBy("src_ip", F.to_date("event_time")).orderBy("event_time", "event_id")
+    gap = (F.unix_micros("event_time") - F.unix_micros(F.lag("event_time").over(day))) / 1000.0
+    return packets_of(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("iat_ms", gap)
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a stream of packets."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return packets_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
 def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as contract strings in which some records break each rule, for what cleans and validates."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sqlite3
 import time
+import uuid
 from collections.abc import Callable, Sequence
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +72,21 @@ def start_sink(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return (w.trigger(availableNow=True) if trigger_s is None else w.trigger(processingTime=f"{trigger_s} seconds")).start()
 
 
+def finished(df: DataFrame) -> DataFrame:
+    """Run an aggregating stream over all that is there and return its whole result, kept in the shared folder."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    root = f"{root}/streams/{uuid.uuid4().hex}"
+    q = start_sink(df, lambda b, _: b.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/checkpoint", "complete", None)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def csv_files(df: DataFrame, path: str, checkpoint: str, max_records: int = 100_000, trigger_s: int = 60):
+    """A stream as CSV files of bounded size, a set each trigger; closed files are never touched again."""
+    return df.writeStream.format("csv").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", max_records).trigger(processingTime=f"{trigger_s} seconds").start()
+
+
 def dead_letters(df: DataFrame, path: str, reason: str) -> None:
     """Rejected rows by day and reason."""
     df.withColumns({"dt": F.to_date(F.current_timestamp()), "reason": F.col(reason)}).write.mode("append").partitionBy("dt", "reason").parquet(path)
@@ -96,7 +113,9 @@ class Health(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
         late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
-        for metric, value in (("batch_duration_s", p.batchDuration / 1000), ("input_rows", p.numInputRows), ("late_rows", late)):
+        seen = (p.eventTime or {}).get("max")
+        lag = max(0.0, (datetime.fromisoformat(p.timestamp) - datetime.fromisoformat(seen)).total_seconds()) if seen else 0.0
+        for metric, value in (("lag_s", lag), ("batch_duration_s", p.batchDuration / 1000), ("input_rows", p.numInputRows), ("late_rows", late)):
             self.rows.append({"ts": p.timestamp, "component": p.name or str(p.id), "metric": metric, "value": float(value)})
 
 

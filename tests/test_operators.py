@@ -11,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import net
-from packetloom.operators import alerts, cleaning, graph, history, itemsets, sketches, windows
+from packetloom.operators import alerts, cleaning, graph, history, itemsets, membership, sketches, windows
 from packetloom.plans import registry
 from packetloom.schema import COLUMNS
 from packetloom.sources import packets as src
+from packetloom.sources import serving
 from packetloom.streaming import sinks
 from packetloom.streaming.stateful import Dgim, stream_decay, stream_dgim, stream_reservoir
 
@@ -275,3 +276,48 @@ def test_runner(spark, tmp_path):
         for q in registry.run(spark, c):
             q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/window_metrics_10")).agg(F.sum("packets")).first()[0] == 200
+
+
+def test_bloom_loses_nothing(spark):
+    a = spark.range(2000).withColumn("item", F.concat(F.lit("x"), "id"))
+    kept = membership.probe(a, "item", membership.bloom(a.filter("id < 1000"), "item", 1 << 15), 1 << 15)
+    assert kept.filter("id < 1000").count() == 1000 and kept.filter("id >= 1000").count() < 60
+
+
+def test_serving(spark, tmp_path):
+    m = spark.createDataFrame([("2024-01-01 00:00:00", 10, 1.0), ("2024-01-01T00:00:10Z", 10, None)], "window_start string, window_len_s int, pps double")
+    db = str(tmp_path / "s.db")
+    sinks.upsert_sqlite(m, db, "window_metrics")
+    assert serving.read_sqlite(spark, db, "window_metrics", "2024-01-01T00:00:05Z").count() == 1
+    assert serving.latest(m).count() == 1
+    lay = serving.Layout(str(tmp_path / "zones"))
+    assert set(lay.create(spark)) >= {"raw", "stream_in"} and (tmp_path / "zones/raw").is_dir()
+    from datetime import datetime
+
+    listing = ["-rw-r--r-- 1 u g 10 2024-01-01 00:00 /in/a.csv", "-rw-r--r-- 1 u g 10 2024-01-03 00:00 /in/b.csv", "drwxr-xr-x - u g 0 2024-01-01 00:00 /in/d", "-rw-r--r-- 1 u g 1 2024-01-01 00:00 /in/.c", "junk"]
+    assert serving.eligible_files(listing, datetime(2024, 1, 2), "/in") == ["/in/a.csv"]
+
+
+def test_raw_table(spark, tmp_path):
+    src.generate(spark, "dns", 2, 5).write.csv(str(tmp_path / "raw/dt=2024-01-01/hr=00"))
+    serving.register_raw(spark, "raw_packets", str(tmp_path / "raw"))
+    assert spark.sql("SELECT count(*) FROM raw_packets WHERE dt = '2024-01-01'").first()[0] == 10
+    spark.sql("DROP TABLE raw_packets")
+    serving.write_dataset(src.generate(spark, "dns", 2, 5), str(tmp_path / "set"))
+    assert spark.read.json(str(tmp_path / "set.truth")).first()["packets"] == 10
+
+
+def test_health(spark, tmp_path):
+    h = sinks.Health()
+    spark.streams.addListener(h)
+    src.generate(spark, "normal", 2, 5).write.csv(str(tmp_path / "in"))
+    q = sinks.start_sink(windows.window_metrics(cleaning.clean(src.stream_packets(spark, str(tmp_path / "in"))), 10), lambda b, i: b.count(), str(tmp_path / "c"), trigger_s=None)
+    q.awaitTermination(60)
+    import time
+
+    for _ in range(50):
+        if h.rows:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(h)
+    assert {r["metric"] for r in h.rows} >= {"lag_s", "input_rows", "late_rows", "batch_duration_s"}
