@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SUB_BATCH_BYTES = 1 << 20
+SUB_BATCH_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,7 +67,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, SUB_BATCH_BYTES + (1 << 17))
+        size = max(n, 2 * SUB_BATCH_BYTES)
         both = []
         for b in (BASE, BASE_INV):
             p = np.full(size, b, np.uint64)

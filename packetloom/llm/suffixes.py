@@ -22,7 +22,7 @@ from .common import mix64, pieces, powers, raw_bytes, written
 
 GRAM = 32
 PLACE_BITS = 20
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
 
@@ -65,7 +65,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 def anchor_runs(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, gram hash, place, first, last) for each text; very long texts are taken in overlapping parts."""
     most = (1 << PLACE_BITS) - 1
-    for a, _, buf, off in pieces(texts, most):
+    for a, _, buf, off in pieces(texts):
         if len(buf) <= most:
             t, *cols = anchors(buf, off, length)
             cut = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else []
@@ -153,8 +153,10 @@ def repeated_in(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np
     buf, off = raw_bytes_of(rows["ctx"])
     size = high - low
     columns = np.zeros((reach + length, len(order)), np.uint8)
-    flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    columns[flat + np.repeat(low, size), np.repeat(np.arange(len(order)), size)] = buf[flat + np.repeat(off[order], size)]
+    for i in range(0, len(order), 1024):
+        s = slice(i, i + 1024)
+        at = np.arange(int(size[s].sum())) - np.repeat(np.cumsum(size[s]) - size[s], size[s])
+        columns[at + np.repeat(low[s], size[s]), np.repeat(np.arange(i, min(i + 1024, len(order))), size[s])] = buf[at + np.repeat(off[order[s]], size[s])]
     found = refine(columns, low, high, group, length).T
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edge == 1)
