@@ -204,10 +204,9 @@ def covered(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(g), k, *(pa.array(x.astype(np.int32)) for x in (p, first, last))], ["g", "k", "p", "first", "last"])
 
     runs = written(d.filter(F.octet_length("text") >= length).select("text").mapInArrow(run, RUNS), "suffix_runs")
-    seen = runs.groupBy("g", "k", "p").agg(F.count(F.lit(1)).alias("n"))
-    again = seen.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    asked = runs.join(again, "g", "left_semi").distinct()
-    asked = asked.groupBy("k").agg(F.collect_list(F.struct("g", "p", "first", "last")).alias("runs"))
+    at = F.xxhash64("k", "p")  # an anchor recurs where its occurrences are not all one text and place
+    again = runs.groupBy("g").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo <> hi").select("g")
+    asked = runs.join(again, "g", "left_semi").groupBy("k").agg(F.collect_set(F.struct("g", "p", "first", "last")).alias("runs"))
     rep = facts.groupBy("k").agg(F.min("doc_id").alias("doc_id"))
     need = asked.join(rep, "k")
     texts = written(d.join(need, "doc_id").filter(text_key("text") == F.col("k")).select("k", "text", "runs"), "suffix_texts")
