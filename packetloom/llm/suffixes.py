@@ -23,6 +23,8 @@ from .common import mix64, pieces, powers, raw_bytes, written
 GRAM = 32
 PLACE_BITS = 20
 PART_BYTES = 8 << 20
+#: Anchors with more occurrences than one task should hold go by hashes of their strings.
+HOT_ROWS = 100_000
 EMPTY_SHA = hashlib.sha256(b"").digest()
 
 
@@ -34,6 +36,18 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return mix64((sums[GRAM:] - sums[:-GRAM]) * q[: n - GRAM + 1])
 
 
+def string_hashes(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string of ``length`` bytes."""
+    n = len(buf)
+    p, q = powers(n + 1)
+    out = []
+    for b in (buf.astype(np.uint64) + np.uint64(1), buf.astype(np.uint64) * (buf.astype(np.uint64) + np.uint64(17)) + np.uint64(5)):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(b * p[:n], out=sums[1:])
+        out.append(mix64((sums[length:] - sums[:-length]) * q[: n - length + 1]).view(np.int64))
+    return out[0], out[1]
+
+
 def anchors(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, gram hash, place, first, last): runs of starts of ``length``-byte strings with one anchor occurrence.
 
@@ -179,11 +193,13 @@ def text_key(text: str) -> object:
 RUNS = "g long, k binary, p int, first int, last int"
 
 
-def covered(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def covered(docs: DataFrame, length: int, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, texts, spans): facts (doc_id, k, n_bytes, sha) of every document, k naming its text; texts
     (k, text) that may hold repeats; spans (k, start, stop), covered bytes of texts, which may overlap.
 
     Copies of a text are one text here: where a text of ``length`` bytes or more has copies, all of it recurs.
+    An anchor that more than ``hot_rows`` texts share is not dealt to one task: the strings around it are
+    counted by hash, summed before the shuffle.
     """
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     facts = written(d.select("doc_id", text_key("text").alias("k"), F.octet_length("text").cast("long").alias("n_bytes"), F.expr("unhex(sha2(text, 256))").alias("sha")), "suffix_facts")
@@ -205,8 +221,9 @@ def covered(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
 
     runs = written(d.filter(F.octet_length("text") >= length).select("text").mapInArrow(run, RUNS), "suffix_runs")
     at = F.xxhash64("k", "p")  # an anchor recurs where its occurrences are not all one text and place
-    again = runs.groupBy("g").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo <> hi").select("g")
-    asked = runs.join(again, "g", "left_semi").groupBy("k").agg(F.collect_set(F.struct("g", "p", "first", "last")).alias("runs"))
+    again = runs.groupBy("g").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n"))
+    again = written(again.filter("lo <> hi").select("g", (F.col("n") > hot_rows).alias("hot")), "suffix_again")
+    asked = runs.join(again, "g").groupBy("k").agg(F.collect_set(F.struct("g", "p", "first", "last", "hot")).alias("runs"))
     rep = facts.groupBy("k").agg(F.min("doc_id").alias("doc_id"))
     need = asked.join(rep, "k")
     texts = written(d.join(need, "doc_id").filter(text_key("text") == F.col("k")).select("k", "text", "runs"), "suffix_texts")
@@ -217,8 +234,9 @@ def covered(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
             runs_ = batch.column(2)
             flat, of = runs_.flatten(), runs_.offsets.to_numpy()
             of = of - of[0]
-            g, p, first, last = (flat.field(i).to_numpy() for i in range(4))
+            g, p, first, last, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(of))
+            g, p, first, last, owner = (x[~hot] for x in (g, p, first, last, owner))
             a, b = off[owner] + first, off[owner] + last + length
             for i in range(0, len(g), 4096):
                 s = slice(i, i + 4096)
@@ -233,7 +251,22 @@ def covered(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFra
         return pa.table({"k": t["k"].take(pa.array(row)), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
 
     dealt = texts.mapInArrow(cut, RUNS + ", ctx binary").groupBy(F.pmod(F.xxhash64("g"), F.lit(deals)).alias("deal"))
-    return facts, texts, dealt.applyInArrow(deal, "k binary, start long, stop long")
+    spans = dealt.applyInArrow(deal, "k binary, start long, stop long")
+    if not again.filter("hot").take(1):
+        return facts, texts, spans
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = raw_bytes(batch.column(1))
+            for i, runs_ in enumerate(batch.column(2).to_pylist()):
+                for r in (r for r in runs_ if r["hot"]):
+                    a, b = string_hashes(buf[off[i] + r["first"] : off[i] + r["last"] + length], length)
+                    start = np.arange(r["first"], r["last"] + 1, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([batch.column(0)[i].as_py()] * len(a), pa.binary()), pa.array(start)], ["a", "b", "k", "start"])
+
+    each = texts.filter(F.exists("runs", lambda r: r["hot"])).mapInArrow(strings, "a long, b long, k binary, start long")
+    often = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return facts, texts, spans.unionByName(each.join(often, ["a", "b"], "left_semi").select("k", "start", (F.col("start") + length).alias("stop")))
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -246,14 +279,14 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes over it also starts anywhere else,
     in the same document too; matches do not cross documents and are judged on the input. Null and empty
     texts lose nothing; repeated rows are copies of each other like any other equal texts.
     """
-    facts, texts, spans = covered(docs, length)
+    facts, texts, spans = covered(docs, length, hot_rows)
     by_text = spans.groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,6 +272,8 @@ def test_long_repeats_as_brute_force(spark):
     ]
     got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.without_repeats(clash(docs(spark, rows)), 100).collect())
     assert got == brute_repeats(rows, 100)
+    by_hash = suffixes.without_repeats(docs(spark, rows), 100, hot_rows=1)
+    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in by_hash.collect()) == got
     assert suffixes.without_repeats(docs(spark, [])).count() == 0
 
 
