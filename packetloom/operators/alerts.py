@@ -94,7 +94,11 @@ def cooled(alerts: DataFrame, cooldown_s: int = 60) -> DataFrame:
 
 def evaluate(metrics: DataFrame, stats: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
     """All rules over closed windows, cooled down, each with an id and its details as JSON."""
-    a = cooled(spikes(metrics, config).unionByName(source_rules(stats, config)), config.cooldown_s)
+    return named(cooled(spikes(metrics, config).unionByName(source_rules(stats, config)), config.cooldown_s))
+
+
+def named(a: DataFrame) -> DataFrame:
+    """Alerts with an id made of type, source and window, and their figures as JSON."""
     key = F.concat_ws("|", "alert_type", F.coalesce("src_ip", F.lit("*")), "window_start")
     details = F.to_json(F.struct("observed", "baseline", "change_pct"))
     return a.withColumns({"alert_id": F.sha2(key, 256), "details_json": details})

@@ -254,3 +254,9 @@ def render_weights(e: DataFrame) -> DataFrame:
     """Edges with packets as a share of the largest."""
     top = e.agg(F.max("packets").alias("most"))
     return e.join(F.broadcast(top)).select("src", "dst", "packets", F.round(F.col("packets") / F.col("most"), 6).alias("share"))  # one row
+
+
+def analyse(e: DataFrame, n: int = 30, weight: str = "packets") -> DataFrame:
+    """(id, rank, degree, in_degree, out_degree, betweenness) of the ``n`` vertices of highest degree and the edges among them."""
+    small = prune(e, n, weight)
+    return pagerank(small, weight=weight).join(summary(small, weight), "id", "left")

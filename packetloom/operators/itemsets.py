@@ -64,9 +64,11 @@ def fp_growth(b: DataFrame, min_support: float = 0.05) -> DataFrame:
 
 
 def rolling(df: DataFrame, window_s: int = 60, slide_s: int = 10, slice_s: int = 1, min_support: float = 0.05) -> DataFrame:
-    """Frequent single items by sliding event-time window; baskets are counted in every window that holds their slice."""
+    """Frequent itemsets of one and two by sliding event-time window; baskets are counted in every window that holds their slice."""
     b = baskets(df, slice_s).withColumn("w", F.window(F.timestamp_seconds("slice"), f"{window_s} seconds", f"{slide_s} seconds"))
     n = b.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    c = b.select("w", F.explode("items").alias("item")).groupBy("w", "item").agg(F.count(F.lit(1)).alias("c")).join(n, "w")
+    sets = F.concat(F.transform("items", lambda x: F.array(x)), F.transform(_pairs(F.col("items")), lambda p: F.array(p["x"], p["y"])))
+    c = b.select("w", F.explode(sets).alias("i")).groupBy("w", "i").agg(F.count(F.lit(1)).alias("c")).join(n, "w")
     c = c.filter(F.col("c") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(min_support))))
-    return c.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col("item").alias("itemset"), F.col("c").alias("support_count"), F.round(F.col("c") / F.col("n"), 4).alias("support_ratio"))
+    ratio = F.round(F.col("c") / F.col("n"), 4).alias("support_ratio")
+    return c.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), format_itemset(F.col("i")).alias("itemset"), F.size("i").alias("size"), F.col("c").alias("support_count"), ratio)

@@ -317,8 +317,10 @@ for _algorithm in ("apriori", "pcy", "brute"):
 
 
 @query(f"""{P}, b AS (SELECT src_ip, floor(epoch(event_time) / 3600)::BIGINT * 3600 AS slice, list(DISTINCT protocol || coalesce(':' || dst_port, '')) AS items FROM p GROUP BY 1, 2),
-x AS (SELECT *, unnest([0, 1, 2, 3]) AS o FROM b), v AS (SELECT (floor(slice / 21600) - o)::BIGINT * 21600 AS s, items FROM x), n AS (SELECT s, count(*) AS n FROM v GROUP BY 1), c AS (SELECT s, unnest(items) AS itemset FROM v)
-SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, itemset, count(*) AS support_count, round(count(*) / n, 4)::DOUBLE AS support_ratio FROM c JOIN n USING (s) GROUP BY s, itemset, n HAVING count(*) >= greatest(1, ceil(n * 0.05))""")
+x AS (SELECT *, unnest([0, 1, 2, 3]) AS o FROM b), v AS (SELECT (floor(slice / 21600) - o)::BIGINT * 21600 AS s, items FROM x), n AS (SELECT s, count(*) AS n FROM v GROUP BY 1),
+k AS (SELECT s, row_number() OVER () AS r, items FROM v), i AS (SELECT s, r, unnest(items) AS itemset FROM k),
+c AS (SELECT s, itemset, 1 AS size FROM i UNION ALL SELECT a.s, a.itemset || ' + ' || z.itemset, 2 FROM i a JOIN i z ON a.r = z.r AND a.itemset < z.itemset)
+SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, itemset, size, count(*) AS support_count, round(count(*) / n, 4)::DOUBLE AS support_ratio FROM c JOIN n USING (s) GROUP BY s, itemset, size, n HAVING count(*) >= greatest(1, ceil(n * 0.05))""")
 def itemsets_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.rolling(packets(spark, sf_dir), DAY, 21600, HOUR)
 
@@ -420,6 +422,11 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.betweenness(graph.prune(reply_edges(spark, sf_dir), 60))
 
 
+@query()
+def graph_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.analyse(reply_edges(spark, sf_dir), 80).withColumn("rank", F.round("rank", 9))
+
+
 @query(f"{E} SELECT src, dst, packets, round(packets / max(packets) OVER (), 6)::DOUBLE AS share FROM e")
 def graph_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.render_weights(edges(spark, sf_dir))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -40,3 +42,16 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc._packetloom_shipped = True
     return spark
+
+
+def setup_logging(component: str, level: int = logging.INFO) -> logging.Logger:
+    """A logger of one component with UTC times on standard error."""
+    form = logging.Formatter(f"%(asctime)sZ %(levelname)s {component} %(message)s", "%Y-%m-%dT%H:%M:%S")
+    form.converter = time.gmtime
+    out = logging.getLogger(component)
+    if not out.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(form)
+        out.addHandler(handler)
+    out.setLevel(level)
+    return out

@@ -76,6 +76,13 @@ def parse_raw(lines: DataFrame, sep: str = "\t") -> DataFrame:
     )
 
 
+def parse_raw_strict(lines: DataFrame, sep: str = "\t") -> DataFrame:
+    """parse_raw that fails with the reason at the first line it rejects."""
+    d = parse_raw(lines, sep)
+    ok = F.when(F.col("reject_reason").isNull(), F.col("timestamp")).otherwise(F.raise_error(F.col("reject_reason")))
+    return d.withColumn("timestamp", ok).drop("reject_reason", "raw_line")
+
+
 #: Shares of TCP, UDP and ICMP, packet length range, and numbers of sources and destinations of generated traffic.
 SCENARIOS = {
     "normal": (0.8, 0.15, 60, 1500, 9, 10),

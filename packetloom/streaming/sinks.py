@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import socket
 import sqlite3
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Sequence
 from datetime import datetime
 from pathlib import Path
@@ -87,6 +89,43 @@ def csv_files(df: DataFrame, path: str, checkpoint: str, max_records: int = 100_
     return df.writeStream.format("csv").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", max_records).trigger(processingTime=f"{trigger_s} seconds").start()
 
 
+class TcpLines:
+    """A ``foreach`` writer of lines to a socket: reconnects with growing pauses, keeps the newest ``buffer`` lines meanwhile and counts the rest."""
+
+    def __init__(self, host: str, port: int, buffer: int = 1000, timeout: float = 2.0):
+        self.host, self.port, self.buffer, self.timeout = host, port, buffer, timeout
+
+    def open(self, partition_id: int, epoch_id: int) -> bool:
+        self.waiting: deque[str] = deque(maxlen=self.buffer)
+        self.dropped, self.pause, self.next_try, self.socket = 0, 0.5, 0.0, None
+        return True
+
+    def process(self, row) -> None:
+        self.dropped += len(self.waiting) == self.buffer
+        self.waiting.append(",".join("" if v is None else str(v) for v in row))
+        self.flush()
+
+    def flush(self) -> None:
+        if self.socket is None and time.monotonic() >= self.next_try:
+            try:
+                self.socket, self.pause = socket.create_connection((self.host, self.port), self.timeout), 0.5
+            except OSError:
+                self.next_try, self.pause = time.monotonic() + self.pause, min(8.0, self.pause * 2)
+        while self.socket is not None and self.waiting:
+            try:
+                self.socket.sendall((self.waiting[0] + "\n").encode())
+                self.waiting.popleft()
+            except OSError:
+                self.socket.close()
+                self.socket = None
+
+    def close(self, error) -> None:
+        self.next_try = 0.0
+        self.flush()
+        if self.socket is not None:
+            self.socket.close()
+
+
 def dead_letters(df: DataFrame, path: str, reason: str) -> None:
     """Rejected rows by day and reason."""
     df.withColumns({"dt": F.to_date(F.current_timestamp()), "reason": F.col(reason)}).write.mode("append").partitionBy("dt", "reason").parquet(path)

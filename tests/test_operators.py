@@ -321,3 +321,52 @@ def test_health(spark, tmp_path):
         time.sleep(0.2)
     spark.streams.removeListener(h)
     assert {r["metric"] for r in h.rows} >= {"lag_s", "input_rows", "late_rows", "batch_duration_s"}
+
+
+def test_streamed_alerts_are_judged_once(spark, tmp_path):
+    from packetloom.streaming.alerting import start_alerts
+
+    calm, spike = src.generate(spark, "normal", 60, 20), src.generate(spark, "portscan", 10, 200, base_epoch=1758412860.0)
+    later = src.generate(spark, "normal", 5, 1, base_epoch=1758413000.0)
+    for i, d in enumerate((calm, spike, later)):
+        d.coalesce(1).write.mode("append").csv(str(tmp_path / "in"))
+        valid, _ = cleaning.split_valid(cleaning.clean(src.stream_packets(spark, str(tmp_path / "in"))))
+        for q in start_alerts(valid, str(tmp_path / "out"), config=alerts.AlertConfig(min_pps=5, warmup_windows=3), trigger_s=None):
+            q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out/alerts_spikes")).collect()
+    assert [(r["window_start"], r["severity"]) for r in got] == [("2025-09-21 00:01:00", "CRITICAL")]
+    scans = spark.read.parquet(str(tmp_path / "out/alerts_sources")).filter("alert_type = 'UNUSUAL_PORT_ACTIVITY'").collect()
+    assert [r["window_start"] for r in scans] == ["2025-09-21 00:01:00"]
+
+
+def test_lines_over_tcp():
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+    got = []
+
+    def serve():
+        c, _ = server.accept()
+        with c, c.makefile() as f:
+            got.extend(f)
+
+    t = threading.Thread(target=serve)
+    t.start()
+    w = sinks.TcpLines("127.0.0.1", server.getsockname()[1])
+    w.open(0, 0)
+    w.process(("a", None, 1))
+    w.process(("b", 2, 3))
+    w.close(None)
+    t.join(5)
+    server.close()
+    assert got == ["a,,1\n", "b,2,3\n"]
+
+
+def test_strict_parser(spark):
+    good = "\t".join(["1704067200.1239", "10.0.0.1", "8.8.8.8", "", "", "1", "2", "", "", "6", "", "60", "AA:BB:CC:00:11:22", "", "0x10", "0.001"])
+    d = spark.createDataFrame([(good,)], "value string")
+    r = src.parse_raw_strict(d).first()
+    assert (r["timestamp"], r["src_mac"], r["iat_ms"], r["dst_port"]) == ("2024-01-01 00:00:00.123", "aa:bb:cc:00:11:22", 1.0, 2)
+    with pytest.raises(Exception, match="WRONG_COLUMNS"):
+        src.parse_raw_strict(spark.createDataFrame([("x",)], "value string")).collect()
