@@ -155,13 +155,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num
     return x.join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    x, y = (comp.select(F.col("node").alias(i), F.col("label").alias(f"l_{i}")) for i in "ab")
-    p = pairs.join(x, "a", "left").join(y, "b", "left")
-    return p.filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).drop("l_a", "l_b")
-
-
 def cell_links(c: np.ndarray, label: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
     """Links between members of different components that join components; overlaps are counted over posting lists."""
     size = np.array([len(s) for s in sets])
@@ -190,17 +183,21 @@ def cell_links(c: np.ndarray, label: np.ndarray, sets: list[np.ndarray], num: in
     return a_out, b_out
 
 
-def leftovers(bands: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def leftovers(bands: DataFrame, stars: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that star edges miss: between classes that share a bucket and lie in different components.
 
-    Buckets whose classes are all in one component need nothing more. Components that meet in the
+    Buckets whose classes are all in one component need nothing more; nor do those of two classes whose
+    pair is not plausible, as ``stars`` (a, b), the plausible star edges, tells. Components that meet in the
     others form a cluster, whose classes are dealt over blocks of about BLOCK_SHINGLES; each pair of
     blocks is one task's group of bounded size, in which overlaps of full sets are counted, and only
     links that join components leave it. A set moves once for each block of its cluster.
     """
     m = bands.join(comp.select(F.col("node").alias("c"), "label"), "c", "left").select("band", "c", F.coalesce("label", "c").alias("label"))
-    mixed = m.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi and size > 2").select("band", "lo")
-    m = written(m.join(mixed, "band").select("c", "label", "lo").distinct(), "minhash_mixed")
+    mixed = m.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "lo")
+    m = m.join(mixed, "band").select("band", "c", "label", "lo")
+    pairs = m.groupBy("band").agg(F.min("c").alias("b"), F.max("c").alias("a"), F.count(F.lit(1)).alias("size")).filter("size = 2")
+    m = m.join(pairs.join(stars, ["a", "b"], "left_anti").select("band"), "band", "left_anti")
+    m = written(m.select("c", "label", "lo").distinct(), "minhash_mixed")
     cluster = components(m.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     m = m.select("c", "label").distinct().join(cluster, "label").join(classes.select("c", "n", "key", F.col("d").alias("doc_id")), "c")
     m = written(m, "minhash_members")
@@ -241,11 +238,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     stars = written(plausible(stars, classes, num, den), "minhash_stars")
     first = stars.groupBy("a").agg(F.max_by("b", "est").alias("b"))
     links = written(confirmed(first, classes, docs, k, num, den), "minhash_links")
-    comp = components(links)
-    rest = written(apart(stars.select("a", "b"), comp), "minhash_rest")
-    links = _extended(links, rest.join(first, ["a", "b"], "left_anti"), classes, docs, k, num, den)
     comp = written(components(links), "minhash_components")
-    more = written(leftovers(bands, comp, classes, docs, k, num, den), "minhash_leftovers")
+    more = written(leftovers(bands, stars, comp, classes, docs, k, num, den), "minhash_leftovers")
     if more.take(1):
         comp = written(components(links.union(more)), "minhash_components")
     of = classes.join(comp, classes["c"] == comp["node"], "left").select("key", "d", F.coalesce("label", "c").alias("label"))
@@ -256,14 +250,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _extended(links: DataFrame, pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``links`` and those of ``pairs`` that full sets confirm; the same object where there are none to look at."""
-    if not pairs.take(1):
-        return links
-    more = written(confirmed(pairs, classes, docs, k, num, den), "minhash_links")
-    return links.union(more) if more.take(1) else links
-
-
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but the least doc_id of each group; of repeated rows one stays. Rows without a doc_id stay."""
     found = near_duplicates(docs, k, num, den)
