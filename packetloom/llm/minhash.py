@@ -130,7 +130,8 @@ def with_sets(goes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["at", "c", "s"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return texts.join(goes, "doc_id").select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
+    # A join by key at every size: a table that is small today must not decide how texts move.
+    return texts.join(goes.hint("merge"), "doc_id").select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
