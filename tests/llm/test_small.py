@@ -143,6 +143,14 @@ def test_answers_are_looked_for(spark):
     assert [r["doc_id"] for r in decontam.contaminated(docs(spark, rows), bench).collect()] == [1]
 
 
+def test_long_items(spark):
+    long = words(9, 700, 5000)
+    rows = [(1, words(2, 100, 5000) + " " + long + " " + words(3, 100, 5000), "en", "s"), (2, " ".join(long.split()[:150]) + " " + words(4, 600, 5000), "en", "s")]
+    bench = spark.createDataFrame([(5, long)], "item_id long, text string")
+    got = decontam.contaminated(docs(spark, rows), bench).collect()
+    assert [(r["doc_id"], r["common_words"], r["item_words"]) for r in got] == [(1, 700, 700)]
+
+
 def test_lcs():
     import numpy as np
 
