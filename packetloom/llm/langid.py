@@ -21,6 +21,8 @@ ORDERS = (1, 2, 3)
 SCALE = 64.0
 FOLDED = 0x30000
 UNDETERMINED = "und"
+#: The most frequent languages so many are learnt; others are never predicted.
+MAX_LANGS = 256
 
 
 def _fold_table() -> np.ndarray:
@@ -168,13 +170,13 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def sampled_features(docs: DataFrame, max_train: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of about ``max_train`` labelled rows, spread evenly over languages and chosen by id hash."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return []
     share = max_train / len(counts)
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))]), F.col("lang"))
     order = F.xxhash64(F.lit("langid"), "doc_id")
-    chosen = docs.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "order", "text")
+    chosen = docs.withColumn("order", order).filter(F.coalesce(F.pmod("order", F.lit(1 << 30)) < rate * (1 << 30), F.lit(False))).select("lang", "order", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
