@@ -77,6 +77,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (3, 1, 2),
     """
     small = written(docs.select("source", sampling_key(F.col("doc_id"), seed).alias("key"), n_words(F.col("text")).alias("size")), "mix_sizes")
     plan = mix_plan(small, weights, budget_ratio, cap).select(*[F.col(c).alias(f"__mix_{c}") for c in ("source", "source_size", "target", "whole", "cut", "rest", "at_cut")])
+    plan = written(plan.coalesce(1), "mix_plan")  # its size is known, so that it is broadcast if small and texts stay where they are
     made = ["size", "source_size", "target", "taken"]
     d = docs.drop(*made, "__mix_key").withColumns({"size": n_words(F.col("text")), "__mix_key": sampling_key(F.col("doc_id"), seed)})
     extra = (
