@@ -112,15 +112,20 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epoch
     at = {name: i for i, name in enumerate(langs)}
     bias_row = DIM
     z, n = np.zeros((DIM + 1, len(langs))), np.zeros((DIM + 1, len(langs)))
-    xs = [(at[lang], np.append(i, bias_row), np.append(SCALE * idf[i] * k / max(1, k.sum()), 1.0)) for lang, i, k in rows]
-    fit, held = [x for j, x in enumerate(xs) if j % 5 or len(xs) < 20], [x for j, x in enumerate(xs) if not j % 5]
+    fit, held = [r for j, r in enumerate(rows) if j % 5 or len(rows) < 20], [r for j, r in enumerate(rows) if not j % 5]
+
+    def example(r: tuple[str, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        """Made anew each time: the rows stay as small as they came."""
+        lang, i, k = r
+        return at[lang], np.append(i.astype(np.int64), bias_row), np.append(SCALE * idf[i] * k / max(1, int(k.sum())), 1.0)
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for y, i, x in fit:
+        for r in fit:
+            y, i, x = example(r)
             w = weights(i)
             p = softmax(x @ w)
             p[y] -= 1
@@ -128,8 +133,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epoch
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
             n[i] += g * g
     w = weights(np.arange(DIM + 1))
-    logits = np.array([x @ w[i] for _, i, x in held])
-    truth = np.array([y for y, _, _ in held])
+    logits = np.array([x @ w[i] for _, i, x in map(example, held)])
+    truth = np.array([at[r[0]] for r in held])
 
     def loss(t: float) -> float:
         s = logits / t
@@ -192,7 +197,7 @@ def sampled_features(docs: DataFrame, max_train: int) -> list[tuple[str, np.ndar
 
     got = chosen.mapInArrow(run, "lang string, order long, i binary, k binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["order"], r["lang"], r["i"], r["k"]))
-    return [(r["lang"], np.frombuffer(r["i"], np.uint16).astype(np.int64), np.frombuffer(r["k"], np.uint16).astype(float)) for r in got]
+    return [(r["lang"], np.frombuffer(r["i"], np.uint16), np.frombuffer(r["k"], np.uint16)) for r in got]
 
 
 def fit(docs: DataFrame, max_train: int = 3000, held_mod: int = 4, held_rest: int = 2) -> Model:

@@ -105,6 +105,25 @@ def test_chains_and_dedup(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_components_in_one_task_and_by_joins(spark):
+    from packetloom.llm.components import components
+
+    for seed in range(3):
+        r = random.Random(seed)
+        pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
+        e = spark.createDataFrame(pairs, "a long, b long")
+        label = {x: x for p in pairs for x in p}
+        for _ in range(200):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        linked = {x for a, b in pairs if a != b for x in (a, b)}
+        want = {(x, label[x]) for x in linked}
+        assert {tuple(x) for x in components(e).collect()} == want
+        if not seed:
+            assert {tuple(x) for x in components(e, 0).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_cell_links_join_components():
     import numpy as np
 
