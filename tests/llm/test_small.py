@@ -170,6 +170,14 @@ def test_long_items(spark):
     assert [(r["doc_id"], r["common_words"], r["item_words"]) for r in got] == [(1, 700, 700)]
 
 
+def test_more_items_than_singular_directions(spark):
+    """1000 verbatim items in one block: those that the leading 256 directions do not hold are found too."""
+    items = [words(9000 + i, 24, 3000) for i in range(1000)]
+    rows = [(i, " ".join([words(20000 + i, 40, 3000), t, words(30000 + i, 40, 3000)]), "en", "s") for i, t in enumerate(items)]
+    got = decontam.contaminated(docs(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i, i) for i in range(1000)}
+
+
 def test_lcs():
     import numpy as np
 
