@@ -86,12 +86,20 @@ def anchor_runs(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray,
             for i, j in zip(cut, np.append(cut[1:], len(t)).astype(int), strict=True):
                 yield (a + int(t[i]), *(c[i:j] for c in cols))
             continue
+        held: tuple[np.ndarray, ...] | None = None
         for s in range(0, len(buf) - length + 1, most - length):
             part = buf[s : s + most]
             _, g, p, first, last = anchors(part, np.array([0, len(part)]), length)
-            keep = first < most - length
-            last = np.minimum(last, most - length - 1) if s + most < len(buf) else last
-            yield a, g[keep], p[keep] + s, first[keep] + s, last[keep] + s
+            keep = first < most - length  # later starts are the next part's
+            g, p, first, last = g[keep], p[keep] + s, first[keep] + s, np.minimum(last[keep], most - length - 1) + s
+            if held is not None and len(g) and held[0][-1] == g[0] and held[1][-1] == p[0]:  # one run, cut by the border
+                first[0] = held[2][-1]
+                held = tuple(c[:-1] for c in held)
+            if held is not None:
+                yield (a, *held)
+            held = g, p, first, last
+        if held is not None:
+            yield (a, *held)
 
 
 def refine(columns: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:

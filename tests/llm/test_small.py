@@ -312,6 +312,26 @@ def test_long_repeats_as_brute_force(spark):
     assert suffixes.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_runs_of_a_text_in_parts():
+    """Parts of a very long text cut no run in two: a run of starts has one row, and every start has one."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [c for _, *cols in suffixes.anchor_runs(pa.array([words(1, 600_000, 1000)]), 400) for c in zip(*cols, strict=True)]
+    assert len({(g, p) for g, p, _, _ in rows}) == len(rows)
+    starts = np.sort(np.concatenate([np.arange(first, last + 1) for _, _, first, last in rows]))
+    assert (starts == np.arange(5 * 600_000 - 1 - 400 + 1)).all()
+
+
+def test_repeat_at_the_border_of_parts(spark):
+    """Strings of 400 bytes that start just before and just at the border of parts, each again in a text of its own."""
+    border = (1 << suffixes.PLACE_BITS) - 1 - 400
+    long = words(1, 240_000, 1000)
+    rows = [(1, long, "en", "s"), *((2 + i, words(50 + i, 60) + "#" + long[border - d : border - d + 400] + "%" + words(70 + i, 60), "en", "s") for i, d in enumerate((1, 0)))]
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.without_repeats(docs(spark, rows)).collect()}
+    assert got == {1: 401, 2: 400, 3: 400}
+
+
 def test_refinement_of_random_groups():
     import numpy as np
 
