@@ -178,6 +178,17 @@ def test_more_items_than_singular_directions(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} >= {(i, i) for i in range(1000)}
 
 
+def test_short_and_worn_items_in_long_texts(spark):
+    """Items of 5 to 12 words in the middle of other words, and longer ones of which 65% of the words are left."""
+    items = [words(9000 + i, 5 + i % 8, 2000) for i in range(80)] + [words(9100 + i, 20, 2000) for i in range(40)]
+    r = random.Random(1)
+    left = items[:80] + [" ".join(w for j, w in enumerate(t.split()) if j in keep) for t in items[80:] for keep in [set(r.sample(range(20), 13))]]
+    rows = [(i, " ".join([words(20000 + i, 90, 2000), t, words(30000 + i, 90, 2000)]), "en", "s") for i, t in enumerate(left)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows), bench, answer=0.0).collect()}
+    assert not {i for i in range(120) if (i, i) not in got}
+
+
 def test_lcs():
     import numpy as np
 
