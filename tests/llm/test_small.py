@@ -462,6 +462,15 @@ def test_language_model(spark):
     assert lm.score(docs(spark, [])).count() == 0 and lm.score(docs(spark, [(1, None, None, None)])).first()["n_tokens"] == 1
 
 
+def test_all_training_words_are_learnt_from(spark):
+    """One large part and many small ones: the refining table has seen every bit of every training word."""
+    ws = [f"{i:06d}" for i in range(24_000)]
+    d = spark.createDataFrame([(" ".join(ws[i : i + 2000]), True) for i in range(0, len(ws), 2000)] + [("neverseen", False)], "text string, learn boolean")
+    for bits in (0, 7):
+        vocab = lm.vocabulary(d, bits).persist()
+        assert lm.trained(vocab, lm.context_counts(vocab)).refine.sum() == 8 * (7 * len(ws) + 1)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all continuations of a byte add up to 1: bits are coded one by one."""
     import numpy as np
