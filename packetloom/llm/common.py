@@ -156,5 +156,7 @@ class Words:
         return hashes, out
 
 
-def binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start to start + size - 1 of all rows, one after another."""
+    at = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - at, size)

@@ -462,33 +462,118 @@ def test_language_model(spark):
     assert lm.score(docs(spark, [])).count() == 0 and lm.score(docs(spark, [(1, None, None, None)])).first()["n_tokens"] == 1
 
 
-def test_all_training_words_are_learnt_from(spark):
-    """One large part and many small ones: the refining table has seen every bit of every training word."""
-    ws = [f"{i:06d}" for i in range(24_000)]
-    d = spark.createDataFrame([(" ".join(ws[i : i + 2000]), True) for i in range(0, len(ws), 2000)] + [("neverseen", False)], "text string, learn boolean")
-    for bits in (0, 7):
-        vocab = lm.vocabulary(d, bits).persist()
-        assert lm.trained(vocab, lm.context_counts(vocab)).refine.sum() == 8 * (7 * len(ws) + 1)
+def fitted(spark, texts, parts, tree_words=lm.TREE_WORDS):
+    d = spark.createDataFrame([(t, True) for t in texts], "text string, learn boolean").repartition(parts)
+    vocab = lm.vocabulary(d, 4).persist()
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    return lm.fit(d.select("text"), vocab, tokens, tree_words)
 
 
-def test_spelling_is_a_distribution():
-    """Probabilities of all continuations of a byte add up to 1: bits are coded one by one."""
+def test_all_training_text_is_learnt_from(spark):
+    """However it is dealt: the counts and the refining table have seen every bit of every training word."""
+    texts = [" ".join(f"{i * i % 971:03d}" for i in range(j, j + 300)) for j in range(0, 9000, 300)]
+    one, many = fitted(spark, texts, 1), fitted(spark, texts, 7)
+    assert (one.counts.plain == many.counts.plain).all() and (one.counts.states == many.counts.states).all()
+    assert one.mixer.refine.sum() == many.mixer.refine.sum() == one.counts.plain.sum()
+
+
+def test_scores_as_bit_by_bit(spark):
+    """The model's own numbers, used by a scorer that codes one bit after another."""
+    import collections
+    import math
+
+    import numpy as np
+
+    r = random.Random(8)
+    pool = ["".join(r.choice("abcdé,") for _ in range(r.randrange(1, 6))) for _ in range(150)]
+    texts = [" ".join(r.choices(pool, k=r.randrange(0, 60))) for _ in range(60)]
+    m = fitted(spark, texts, 3, tree_words=40)
+    tree = m.tree
+    assert 1 < len(tree.h) <= 41
+    u32 = (1 << 32) - 1
+
+    def mix(x):
+        x = x * 0x85EBCA6B & u32
+        return x ^ x >> 15
+
+    def chained(salt, *parts):
+        x = salt * 0x9E3779B1 & u32
+        for p in parts:
+            x = mix(x + p & u32)
+        return x
+
+    def word_hash(w):
+        return int(lm.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0])
+
+    end, code = int(lm.END_HASH), {int(h): int(x) for h, x in zip(tree.h, tree.symbol, strict=True)}
+
+    def symbols(text):
+        ws, past = [w for w in text.encode().split(b" ") if w], []
+        for w in [*ws, None]:
+            h = end if w is None else word_hash(w)
+            one, two, three = ((past[-k][0] >> 32) if len(past) >= k else 0 for k in (1, 2, 3))
+            tail = past[-1][1][-1] if past else 0
+            before = past[-1][1][-2] if past and len(past[-1][1]) > 1 else 0
+            yield code.get(h, 0), [chained(1, one), chained(2, one, two), chained(3, one, two, three), chained(4, two), chained(5, tail, before)]
+            if w is not None and h not in code:
+                for j, b in enumerate(w + b" "):
+                    x = [w[j - k] if j >= k else 0x100 if j == k - 1 else 0x200 + tail if j == k - 2 else 0 for k in (1, 2, 3, 4)]
+                    total = 0
+                    for i, c in enumerate(w[:j]):
+                        total += int(lm.mix64(np.array([c + (i << 9)], np.uint64))[0])
+                    so_far = int(lm.mix64(np.array([total & (1 << 64) - 1], np.uint64))[0]) & u32
+                    yield tree.bytes_at + b, [*(chained(11 + k, *x[: k + 1]) for k in range(4)), chained(15, so_far)]
+            if w is not None:
+                past.append((h, w))
+
+    def bits(text):
+        for symbol, context in symbols(text):
+            for s in range(tree.start[symbol], tree.start[symbol + 1]):
+                node = int(tree.node[s])
+                yield node, int(tree.bit[s]), int(tree.place[s]), [mix(c ^ (node * 0x9E3779B1 & u32)) * 0xC2B2AE35 % (1 << 32) >> 32 - lm.SLOT_BITS for c in context]
+
+    met = collections.Counter((i, s, b) for t in texts for n, b, _, slots in bits(t) for i, s in [(0, n), *enumerate(slots, 1)])
+    for text in [*texts[:6], "zz abc", "", "a"]:
+        total = 0.0
+        for node, bit, place, slots in bits(text):
+            n0, n1 = met[0, node, 0], met[0, node, 1]
+            x, gate = [math.log((n1 + lm.ADDED_0) / (n0 + lm.ADDED_0))], 0
+            for i, s in enumerate(slots, 1):
+                state = int(lm.states(np.array([met[i, s, 0]]), np.array([met[i, s, 1]]))[0])
+                assert met[i, s, 0] + met[i, s, 1] > lm.EXACT or (lm.N0[state], lm.N1[state]) == (met[i, s, 0], met[i, s, 1])
+                x.append(math.log((lm.N1[state] + lm.ADDED) / (lm.N0[state] + lm.ADDED)))
+                gate = gate * 4 + int(lm.seen(lm.N0[state] + lm.N1[state])) if i <= 3 else gate
+            w = m.mixer.by_seen[:, gate] + m.mixer.by_place[:, place]
+            stretch = max(-14, min(14, sum(a * b for a, b in zip(w, x, strict=False)) + w[lm.PREDICTORS]))
+            p = 1 / (1 + math.exp(-stretch))
+            n = m.mixer.refine[place, int(lm.bucket(np.array([np.float32(stretch)]))[0])]
+            p = (p + (n[1] + 8 * p) / (n.sum() + 8)) / 2
+            total += math.log2(p if bit else 1 - p)
+        data = text.encode()
+        got = m.log2p(lm.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])))[0]
+        assert abs(got - total) < 1e-3 * max(1, abs(total))
+
+
+def test_codes_are_a_distribution(spark):
+    """In any context the probabilities of all words with codes and the escape add up to 1, and those of all bytes."""
+    import numpy as np
+
+    m = fitted(spark, [words(i, 200, 60) for i in range(20)], 2)
+    for first, last in ((0, m.tree.bytes_at), (m.tree.bytes_at, m.tree.bytes_at + 256)):
+        for seed in (1, 77):
+            s = object.__new__(lm.Symbols)
+            s.symbol = np.arange(first, last)
+            s.text = np.arange(last - first)
+            s.context = [np.full(last - first, seed * i, np.uint32) for i in range(1, lm.PREDICTORS)]
+            assert abs((2 ** m.coded(s, last - first)).sum() - 1) < 1e-5
+
+
+def test_contexts_cross_words(spark):
+    """A model of texts in which words follow each other in one order scores that order above a shuffled one."""
     import numpy as np
 
-    def v(ws):
-        h = np.arange(1, len(ws) + 1, dtype=np.uint64)
-        return lm.Vocabulary(h, np.ones(len(ws), np.int64), np.array([len(w) for w in ws]), np.frombuffer(b"".join(ws), np.uint8))
-
-    ws = [b"abc", b"abd", b"ba", b"bab"]
-    counts = np.zeros((len(lm.ORDERS), 2, lm.SLOTS), np.float32)
-    for part in lm.spans(v(ws)):
-        bits = lm.Bits.spelled(part)
-        for t in range(8):
-            for i in range(len(lm.ORDERS)):
-                np.add.at(counts[i], (bits.bit(t).astype(int), bits.slots(i, t)), 1)
-    m = lm.Mixer.fresh(counts)
-    m.learn(v(ws * 20))
-    one = [bytes([x]) for x in range(256)]
-    whole = 2 ** m.log2p(v(one))
-    ends = np.array([2 ** m.log2p(v([b + c for c in one])).astype(float) for b in one[97:99]])
-    assert whole.sum() < 1 and (ends.sum(axis=1) < 1).all() and whole.max() < 0.9
+    ws = [f"w{i}" for i in range(40)]
+    m = fitted(spark, [" ".join(ws[i:] + ws[:i]) for i in range(40)], 3)
+    both = [" ".join(ws), " ".join(random.Random(3).sample(ws, 40))]
+    ordered, shuffled = (m.log2p(lm.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))[0] for t in both)
+    assert ordered > shuffled / 3
