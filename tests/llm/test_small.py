@@ -511,10 +511,10 @@ def test_scores_as_bit_by_bit(spark):
         ws, past = [w for w in text.encode().split(b" ") if w], []
         for w in [*ws, None]:
             h = end if w is None else word_hash(w)
-            one, two, three = ((past[-k][0] >> 32) if len(past) >= k else 0 for k in (1, 2, 3))
+            one, two = ((past[-k][0] >> 32) if len(past) >= k else 0 for k in (1, 2))
             tail = past[-1][1][-1] if past else 0
             before = past[-1][1][-2] if past and len(past[-1][1]) > 1 else 0
-            yield code.get(h, 0), [chained(1, one), chained(2, one, two), chained(3, one, two, three), chained(4, two), chained(5, tail, before)]
+            yield code.get(h, 0), [chained(1, one), chained(2, one, two), chained(3, tail, before)]
             if w is not None and h not in code:
                 for j, b in enumerate(w + b" "):
                     x = [w[j - k] if j >= k else 0x100 if j == k - 1 else 0x200 + tail if j == k - 2 else 0 for k in (1, 2, 3, 4)]
@@ -522,15 +522,16 @@ def test_scores_as_bit_by_bit(spark):
                     for i, c in enumerate(w[:j]):
                         total += int(lm.mix64(np.array([c + (i << 9)], np.uint64))[0])
                     so_far = int(lm.mix64(np.array([total & (1 << 64) - 1], np.uint64))[0]) & u32
-                    yield tree.bytes_at + b, [*(chained(11 + k, *x[: k + 1]) for k in range(4)), chained(15, so_far)]
+                    yield tree.bytes_at + b, [chained(12, *x[:2]), chained(14, *x), chained(15, so_far)]
             if w is not None:
                 past.append((h, w))
 
     def bits(text):
         for symbol, context in symbols(text):
             for s in range(tree.start[symbol], tree.start[symbol + 1]):
-                node = int(tree.node[s])
-                yield node, int(tree.bit[s]), int(tree.place[s]), [mix(c ^ (node * 0x9E3779B1 & u32)) * 0xC2B2AE35 % (1 << 32) >> 32 - lm.SLOT_BITS for c in context]
+                node, depth = int(tree.step[s]) >> 1, s - int(tree.start[symbol])
+                place = min(depth, 19) + 20 * (symbol >= tree.bytes_at)
+                yield node, int(tree.step[s]) & 1, place, [mix(c ^ (node * 0x9E3779B1 & u32)) * 0xC2B2AE35 % (1 << 32) >> 32 - lm.SLOT_BITS for c in context]
 
     met = collections.Counter((i, s, b) for t in texts for n, b, _, slots in bits(t) for i, s in [(0, n), *enumerate(slots, 1)])
     for text in [*texts[:6], "zz abc", "", "a"]:
@@ -542,7 +543,7 @@ def test_scores_as_bit_by_bit(spark):
                 state = int(lm.states(np.array([met[i, s, 0]]), np.array([met[i, s, 1]]))[0])
                 assert met[i, s, 0] + met[i, s, 1] > lm.EXACT or (lm.N0[state], lm.N1[state]) == (met[i, s, 0], met[i, s, 1])
                 x.append(math.log((lm.N1[state] + lm.ADDED) / (lm.N0[state] + lm.ADDED)))
-                gate = gate * 4 + int(lm.seen(lm.N0[state] + lm.N1[state])) if i <= 3 else gate
+                gate += 4 ** (i - 1) * int(lm.seen(lm.N0[state] + lm.N1[state]))
             w = m.mixer.by_seen[:, gate] + m.mixer.by_place[:, place]
             stretch = max(-14, min(14, sum(a * b for a, b in zip(w, x, strict=False)) + w[lm.PREDICTORS]))
             p = 1 / (1 + math.exp(-stretch))
