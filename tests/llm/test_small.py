@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontam, langid, licenses, lm, minhash, mixing, pii, suffixes, topk, warc
+from packetloom.llm import decontam, langid, licenses, lm, minhash, mixing, pii, registry, suffixes, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -292,22 +292,26 @@ def test_mixing_of_repeated_rows(spark):
 
 
 # ------------------------------------------------------------------ long repeats
-def brute_repeats(rows, length):
+def brute_repeats(rows, length, shared):
     texts = [(t or "").encode() for _, t, *_ in rows]
-    seen = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
     out = []
-    for (i, *_), t in zip(rows, texts, strict=True):
-        gone = [False] * len(t)
-        for j in range(len(t) - length + 1):
-            if seen[t[j : j + length]] > 1:
-                gone[j : j + length] = [True] * length
-        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
-        out.append((i or -1, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    for n in (length, shared):
+        seen = {}
+        for t in texts:
+            for i in range(len(t) - n + 1):
+                seen[t[i : i + n]] = seen.get(t[i : i + n], 0) + 1
+        for t in texts:
+            gone = [False] * len(t)
+            for j in range(len(t) - n + 1):
+                if seen[t[j : j + n]] > 1:
+                    gone[j : j + n] = [True] * n
+            kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+            out.append((len(t), sum(gone), sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return sorted((i or -1, *x, y[1], y[2]) for (i, *_), x, y in zip(rows, out, out[len(rows) :], strict=False))
+
+
+def repeats(df):
+    return sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_shared"], r["n_passages"]) for r in df.collect())
 
 
 def test_long_repeats_as_brute_force(spark):
@@ -315,14 +319,21 @@ def test_long_repeats_as_brute_force(spark):
     rows = [
         (1, words(3, 50) + shared + words(4, 50), "en", "s"), (2, shared + words(5, 20), "en", "s"), (3, words(6, 70) + " " + other, "en", "s"), (4, other[7:] + words(7, 10) + other[:-3], "en", "s"),
         (5, "ab" * 200, "en", "s"), (6, "é" * 150 + shared[5:], "en", "s"), (7, words(8, 60), "en", "s"), (8, words(8, 60), "en", "s"), (9, words(8, 60)[:-1] + "X", "en", "s"), (10, None, "en", "s"), (11, "", "en", "s"), (12, "short", "en", "s"), (13, "short", "en", "s"),
+        (None, words(9, 30) + shared[:80] + words(10, 30), "en", "s"), (None, words(11, 90), "en", "s"), (None, words(11, 90)[50:], "en", "s"), (14, words(11, 40), "en", "s"), (None, None, None, None), (15, shared[:75], "en", "s"), (15, shared[:75], "en", "s"),
     ]
-    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.without_repeats(clash(docs(spark, rows)), 100).collect())
-    assert got == brute_repeats(rows, 100)
-    by_hash = suffixes.without_repeats(docs(spark, rows), 100, hot_rows=1)
-    assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in by_hash.collect()) == got
+    got = repeats(suffixes.without_repeats(clash(docs(spark, rows)), 100, 70))
+    assert got == brute_repeats(rows, 100, 70)
+    assert repeats(suffixes.without_repeats(docs(spark, rows), 100, 70, hot_rows=1)) == got
+    assert repeats(suffixes.without_repeats(docs(spark, rows), 100, 100)) == brute_repeats(rows, 100, 100)
     assert suffixes.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_long_repeats_of_whole_table(spark, sf):
+    """The query over all of a test table, against brute force."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert repeats(registry.queries()["op6_suffixes"](spark, sf)) == brute_repeats(rows, 400, suffixes.SHARED)
+
+
 def test_runs_of_a_text_in_parts():
     """Parts of a very long text cut no run in two: a run of starts has one row, and every start has one."""
     import numpy as np
@@ -338,9 +349,9 @@ def test_repeat_at_the_border_of_parts(spark):
     """Strings of 400 bytes that start just before and just at the border of parts, each again in a text of its own."""
     border = (1 << suffixes.PLACE_BITS) - 1 - 400
     long = words(1, 240_000, 1000)
-    rows = [(1, long, "en", "s"), *((2 + i, words(50 + i, 60) + "#" + long[border - d : border - d + 400] + "%" + words(70 + i, 60), "en", "s") for i, d in enumerate((1, 0)))]
+    rows = [(None, long, "en", "s"), *((2 + i, words(50 + i, 60) + "#" + long[border - d : border - d + 400] + "%" + words(70 + i, 60), "en", "s") for i, d in enumerate((1, 0)))]
     got = {r["doc_id"]: r["n_removed"] for r in suffixes.without_repeats(docs(spark, rows)).collect()}
-    assert got == {1: 401, 2: 400, 3: 400}
+    assert got == {None: 401, 2: 400, 3: 400}
 
 
 def test_refinement_of_random_groups():
@@ -348,18 +359,19 @@ def test_refinement_of_random_groups():
 
     for seed in range(12):
         r = np.random.default_rng(seed)
-        n, cols, length = 40, 30, 12
+        n, cols, lengths = 40, 30, (8, 12)
         group = np.sort(r.integers(0, 6, n))
         group = np.unique(group, return_inverse=True)[1]
         columns = r.integers(97, 99, (cols, n)).astype(np.uint8) if seed % 2 else np.repeat(r.integers(97, 99, (cols, 6)), 8, axis=1)[:, :n].astype(np.uint8)
         columns[r.integers(0, cols, 20), r.integers(0, n, 20)] = 120
         low, high = r.integers(0, 8, n), r.integers(22, cols + 1, n)
-        found = suffixes.refine(columns, low, high, group, length)
-        for c in range(cols - length + 1):
-            for x in range(n):
-                ok = low[x] <= c and c + length <= high[x]
-                want = ok and any(y != x and group[y] == group[x] and low[y] <= c and c + length <= high[y] and (columns[c : c + length, x] == columns[c : c + length, y]).all() for y in range(n))
-                assert found[c, x] == want
+        starts = cols - max(lengths) + 1
+        for length, found in zip(lengths, suffixes.refine(columns, low, high, group, lengths, starts), strict=True):
+            for c in range(starts):
+                for x in range(n):
+                    ok = low[x] <= c and c + length <= high[x]
+                    want = ok and any(y != x and group[y] == group[x] and low[y] <= c and c + length <= high[y] and (columns[c : c + length, x] == columns[c : c + length, y]).all() for y in range(n))
+                    assert found[c, x] == want
 
 
 # ------------------------------------------------------------------ top-k
