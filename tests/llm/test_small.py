@@ -557,7 +557,7 @@ def test_scores_as_bit_by_bit(spark):
                 x.append(math.log((lm.N1[state] + lm.ADDED) / (lm.N0[state] + lm.ADDED)))
                 gate += 4 ** (i - 1) * int(lm.seen(lm.N0[state] + lm.N1[state]))
             w = m.mixer.by_seen[:, gate] + m.mixer.by_place[:, place]
-            stretch = max(-14, min(14, sum(a * b for a, b in zip(w, x, strict=False)) + w[lm.PREDICTORS]))
+            stretch = max(-14, min(14, sum(a * b for a, b in zip(w, x, strict=True))))
             p = 1 / (1 + math.exp(-stretch))
             n = m.mixer.refine[place, int(lm.bucket(np.array([np.float32(stretch)]))[0])]
             p = (p + (n[1] + 8 * p) / (n.sum() + 8)) / 2
