@@ -19,19 +19,18 @@ BITS = 15
 DIM = 1 << BITS
 ORDERS = (1, 2, 3)
 SCALE = 64.0
-FOLDED = 0x30000
+FOLDED = 0x110000
 UNDETERMINED = "und"
-#: The most frequent languages so many are learnt; others are never predicted.
-MAX_LANGS = 256
 
 
 def _fold_table() -> np.ndarray:
-    """Letters to lower case, all else to a blank."""
+    """Letters of all planes to lower case, all else to a blank."""
     out = np.full(FOLDED, 32, np.uint32)
-    for i in range(FOLDED):
-        if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalpha():
-            low = c.lower()
-            out[i] = ord(low) if len(low) == 1 else i
+    for a, b in ((0, 0xD800), (0xE000, FOLDED)):
+        every = "".join(map(chr, range(a, b)))
+        for i, (c, low) in enumerate(zip(every, map(str.lower, every), strict=True), a):
+            if c.isalpha():
+                out[i] = ord(low) if len(low) == 1 else i
     return out
 
 
@@ -45,7 +44,7 @@ def letters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=starts[1:])
     c = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    return np.where(c < FOLDED, _fold[0][np.minimum(c, FOLDED - 1)], c), starts[off]
+    return _fold[0][c], starts[off]
 
 
 def grams(c: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +173,21 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sampled_features(docs: DataFrame, max_train: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of about ``max_train`` labelled rows, spread evenly over languages and chosen by id hash."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    """Features of about ``max_train`` labelled rows, spread evenly over all languages and chosen by id hash.
+
+    A language has a row in the result of the count, as labels are few; each has one row at least in the sample, however many there are.
+    """
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
     if not counts:
         return []
-    share = max_train / len(counts)
+    share = max(1.0, max_train / len(counts))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))]), F.col("lang"))
     order = F.xxhash64(F.lit("langid"), "doc_id")
-    chosen = docs.withColumn("order", order).filter(F.coalesce(F.pmod("order", F.lit(1 << 30)) < rate * (1 << 30), F.lit(False))).select("lang", "order", "text")
+    docs = docs.withColumn("order", order)
+    least = docs.groupBy("lang").agg(F.min_by("doc_id", F.struct("order", "doc_id")).alias("least"))
+    first = F.create_map(*[F.lit(x) for r in least.collect() for x in (r[0], r[1])])
+    taken = F.coalesce(F.pmod("order", F.lit(1 << 30)) < rate * (1 << 30), F.lit(False)) | F.coalesce(F.col("doc_id") == F.element_at(first, F.col("lang")), F.lit(False))
+    chosen = docs.filter(taken).select("lang", "order", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -115,6 +115,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
 def with_sets(goes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(at, c, s): for each class of ``goes`` (c, doc_id, key, at: longs) its sorted shingle hashes, once for each of ``at``.
 
+    A class none of whose documents has an id is found among those without one, by its key.
+
     Sets are made again from the text of the class's document, so that they are never stored for all documents.
     """
 
@@ -131,7 +133,20 @@ def with_sets(goes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     # A join by key at every size: a table that is small today must not decide how texts move.
-    return texts.join(goes.hint("merge"), "doc_id").select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
+    goes = goes.withColumnRenamed("doc_id", "rep")
+    known = texts.filter("doc_id is not null").join(goes.filter("rep is not null").hint("merge"), F.col("doc_id") == F.col("rep"))
+    made = known.select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
+    if not goes.filter("rep is null").take(1):
+        return made
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_key(s) if len(s) else None for s in shingle_sets(batch.column(0), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(0)], ["own", "text"])
+
+    nameless = texts.filter("doc_id is null").select("text").mapInArrow(keyed, "own binary, text string").dropDuplicates(["own"])
+    nameless = nameless.join(goes.filter("rep is null").hint("merge"), F.col("own") == F.col("key"))
+    return made.unionByName(nameless.select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary"))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -228,7 +243,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     allow it the full sets decide, and classes of a bucket that these star edges leave in different
     components are compared in a second step, so no link that a band proposes is lost (bands propose a pair at
     0.8 with 1 - 4e-6, at 0.85 with 1 - 3e-8). component_id is the least doc_id of a component;
-    repeated rows are kept or dropped alike. A null doc_id has component_id null if it is alone.
+    repeated rows are kept or dropped alike. A document without an id is linked like others; component_id is
+    null where no document of the component has an id, and such rows are kept. Links are confirmed on 64-bit
+    hashes of shingles: two different shingles of a pair of n have equal hashes with n**2 / 2**65, under 1e-9 for 100,000.
     """
     s = written(signed(docs, k), "minhash_signed")
     classes = s.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -248,7 +265,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     of = of.join(least, "label").select("key", "component_id")
     out = s.select("doc_id", "n", "key").join(of, "key", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == own, own.isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

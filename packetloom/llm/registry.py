@@ -32,7 +32,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

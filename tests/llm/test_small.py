@@ -91,6 +91,9 @@ def test_near_duplicates_as_brute_force(spark, k, num, den):
         for j in range(25):
             rows.append((n, edited(base, n, (0, 0.005, 0.01, 0.02, 0.03)[j % 5]), "en", "s"))
             n += 1
+    near = words(900, 120, 10**6)
+    rows += [(None, edited(near, i, 0.005), "en", "s") for i in range(4)] + [(None, edited(words(100, 120, 10**6), 3, 0.005), "en", "s"), (n, edited(near, 9, 0.005), "en", "s")]
+    rows += [(None, edited(words(901, 120, 10**6), i, 0.005 * i), "en", "s") for i in (0, 0, 1)]
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in minhash.near_duplicates(clash(docs(spark, rows)), k, num, den).collect())
     assert got == brute_components(rows, k, num, den)
 
@@ -380,17 +383,24 @@ def test_topk_as_brute_force(spark):
 
     r = random.Random(2)
     rows = [(i, [r.choice((-0.5, 0.25, r.uniform(-1, 1))) for _ in range(8)]) for i in range(120)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, [1.0] * 8), (504, [1.0, 1.0]), (7, None)]
-    rows.append(rows[3])
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("clash"))
-    back = {r["vec_id"]: r["embedding"] for r in e.filter("vec_id is not null and embedding is not null").collect()}
-    v = {i: [math.floor(256 * x) for x in x_] for i, x_ in back.items() if x_ and all(x is not None and math.isfinite(x) for x in x_)}
-    want = []
-    for q in v:
-        if q % 10 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=False)), c) for c in v if c != q)[:5]
-            want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
-    assert sorted(tuple(r) for r in topk.top_k(e, 10, 5).collect()) == sorted(want)
-    assert topk.top_k(e.limit(0)).count() == 0
+    rows += [rows[3], rows[20], rows[20], (30, [1.0] * 8), (1001, [3e6] * 8), (1002, [-2e7, 1e-3] * 4), (1010, [1e6, 1e6 + 1] * 4)]
+
+    def check(rows):
+        e = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("clash"))
+        back = [(x["vec_id"], x["embedding"]) for x in e.collect()]
+        v = [(i, [math.floor(256 * x) for x in x_]) for i, x_ in back if i is not None and x_ and all(x is not None and math.isfinite(x) for x in x_)]
+        want = []
+        for a, (q, x) in enumerate(v):
+            if q % 10 == 0:
+                score = lambda y: max(-(2**63), min(2**63 - 1, sum(m * n for m, n in zip(x, y, strict=False))))  # noqa: B023, E731
+                s = sorted((-score(y), c) for b, (c, y) in enumerate(v) if a != b)[:5]
+                want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
+        found = topk.top_k(e, 10, 5)
+        assert sorted(tuple(x)[:4] for x in found.collect()) == sorted(want)
+
+    check(rows)
+    check([*rows, (1020, [1e30] * 8), (1021, [-1e35] * 8)])
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_threshold_stops_early():
@@ -438,6 +448,8 @@ def test_language(spark):
     assert all(by[i]["held_out"] == (held(i, 4) == 2) for i, *_ in rows)
     out = [by[i]["lang_pred"] == x for i, _, x, _ in rows if by[i]["held_out"]]
     assert sum(out) / len(out) > 0.95
+    plain = docs(spark, [(1, "\U000e0041\U000e0042", None, None), (2, "\U000f0000\ue000", None, None), (3, "\u4e00\U00030000", None, None)])
+    assert [x["lang_pred"] == "und" for x in langid.identify(plain, langid.fit(d)).orderBy("doc_id").collect()] == [True, True, False]
     assert [by[i]["lang_pred"] for i in (1000, 1001, 1002, None, 1003)] == ["und", "und", "und", "en", "en"]
     empty = docs(spark, [(1, "hello", None, None)])
     assert langid.identify(empty, langid.fit(empty)).first()["lang_pred"] == "und"
@@ -445,6 +457,14 @@ def test_language(spark):
     assert langid.identified_only(docs(spark, rows + odd), langid.fit(d)).filter("doc_id in (1000, 1001, 1002)").count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"{chr(0x4e00 + i % 300) * 6} {chr(0x5e00 + i % 300) * 4}", f"l{i % 300:03d}", "s") for i in range(2400)]
+    d = docs(spark, rows)
+    assert langid.fit(d, max_train=100).langs == sorted({x for _, _, x, _ in rows})
+    got = langid.identify(d, langid.fit(d, max_train=2400)).join(d, "doc_id").selectExpr("avg(cast(lang = lang_pred as int))").first()[0]
+    assert got > 0.9
+
+
 # ------------------------------------------------------------------ language model
 def test_language_model(spark):
     import collections
