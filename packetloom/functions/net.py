@@ -14,8 +14,8 @@ IPV4 = rf"^{OCTET}(\.{OCTET}){{3}}$"
 H16 = "[0-9a-fA-F]{1,4}"
 #: All ways to shorten eight groups with one "::", and the full form.
 IPV6 = "^(" + "|".join([f"({H16}:){{7}}{H16}", *(f"({H16}:){{0,{a}}}{H16}?::({H16}:){{0,{6 - a - 1}}}{H16}" for a in range(6)), f"({H16}:){{1,7}}:", f":(:{H16}){{1,7}}", "::"]) + ")$"
-#: Prefixes of private, link-local and loopback addresses, without a check of octets.
-PRIVATE = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.|127\.|::1$|[fF][cCdD]|[fF][eE]80:)"
+#: Private, link-local and loopback addresses; shapes of MAC addresses, TCP flags and time stamps.
+PRIVATE = r"^(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|169\.254\.\d{1,3}\.\d{1,3}|127\.\d{1,3}\.\d{1,3}\.\d{1,3}|::1|[fF][cCdD][0-9a-fA-F]{2}:.*|[fF][eE]80:.*)$"
 MAC = "^[0-9a-f]{2}(:[0-9a-f]{2}){5}$"
 FLAGS = "^0x[0-9a-fA-F]+$"
 STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}$"
@@ -32,7 +32,7 @@ def is_ip(text: Column) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    """By the prefixes of PRIVATE; null is not private."""
+    """By the shapes of PRIVATE; null is not private."""
     return F.coalesce(ip.rlike(PRIVATE), F.lit(False))
 
 

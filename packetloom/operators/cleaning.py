@@ -49,8 +49,8 @@ class FilterSpec:
 DEFAULT_FILTERS = (
     FilterSpec("tcp_only", "protocol = 'TCP'"),
     FilterSpec("udp_only", "protocol = 'UDP'"),
-    FilterSpec("dns", "dst_port = 53"),
-    FilterSpec("web", "dst_port IN (80, 443)"),
+    FilterSpec("web_traffic", "dst_port IN (80, 443)"),
+    FilterSpec("dns_traffic", "dst_port = 53"),
     FilterSpec("large_packets", "packet_length > 1000"),
 )
 
@@ -103,7 +103,7 @@ def apply_filter(df: DataFrame, spec: FilterSpec | str, filters: list[FilterSpec
 
 
 #: Bit predicates that hold where none are configured.
-DEFAULT_PREDICATES = (FilterSpec("is_tcp", "protocol = 'TCP'"), FilterSpec("is_udp", "protocol = 'UDP'"), FilterSpec("is_large", "packet_length >= 1000"), FilterSpec("is_dns", "dst_port = 53"))
+DEFAULT_PREDICATES = (FilterSpec("is_tcp", "protocol = 'TCP'"), FilterSpec("is_udp", "protocol = 'UDP'"), FilterSpec("is_large_packet", "packet_length >= 1000"), FilterSpec("is_https", "dst_port = 443"))
 
 
 def parse_predicates(config: list[dict] | None = None) -> list[FilterSpec]:

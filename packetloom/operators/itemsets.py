@@ -23,9 +23,11 @@ def format_itemset(items: Column) -> Column:
     return F.array_join(F.sort_array(items), " + ")
 
 
-def _pairs(items: Column) -> Column:
-    """All pairs of one basket's items in order; a basket holds few distinct services."""
-    return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+def pairs_of(b: DataFrame, *keep: str) -> DataFrame:
+    """(keep, x, y): all pairs of each basket's items in order, one row after another; no cell holds more than one basket."""
+    each = b.select(*keep, "items", F.posexplode("items").alias("i", "x"))
+    rest = F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))
+    return each.select(*keep, "x", F.explode(rest).alias("y"))
 
 
 def mine(b: DataFrame, min_support: float = 0.05, algorithm: str = "apriori", buckets: int = 10007) -> DataFrame:
@@ -44,11 +46,10 @@ def mine(b: DataFrame, min_support: float = 0.05, algorithm: str = "apriori", bu
     if algorithm != "brute":
         frequent = b.select("basket", F.explode("items").alias("item")).join(one.select("item"), "item", "left_semi")
         kept = frequent.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    pairs = kept.select(F.explode(_pairs(F.col("items"))).alias("p")).select("p.x", "p.y")
+    pairs = pairs_of(kept)
     if algorithm == "pcy":
         bucket = pair_bucket(F.col("x"), F.col("y"), buckets)
-        all_pairs = b.select(F.explode(_pairs(F.col("items"))).alias("p")).select("p.x", "p.y")
-        hot = all_pairs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(least)).filter("c >= least")  # one row
+        hot = pairs_of(b).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(least)).filter("c >= least")  # one row
         pairs = pairs.withColumn("bucket", bucket).join(hot.select("bucket"), "bucket", "left_semi")
     two = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(least)).filter("c >= least")  # one row
     sets = one.select(F.array("item").alias("i"), "c", "n").unionByName(two.select(F.array("x", "y").alias("i"), "c", "n"))
@@ -67,8 +68,11 @@ def rolling(df: DataFrame, window_s: int = 60, slide_s: int = 10, slice_s: int =
     """Frequent itemsets of one and two by sliding event-time window; baskets are counted in every window that holds their slice."""
     b = baskets(df, slice_s).withColumn("w", F.window(F.timestamp_seconds("slice"), f"{window_s} seconds", f"{slide_s} seconds"))
     n = b.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    sets = F.concat(F.transform("items", lambda x: F.array(x)), F.transform(_pairs(F.col("items")), lambda p: F.array(p["x"], p["y"])))
-    c = b.select("w", F.explode(sets).alias("i")).groupBy("w", "i").agg(F.count(F.lit(1)).alias("c")).join(n, "w")
-    c = c.filter(F.col("c") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(min_support))))
+    enough = F.col("c") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(min_support)))
+    item = b.select("w", "basket", F.explode("items").alias("item"))
+    one = item.groupBy("w", "item").agg(F.count(F.lit(1)).alias("c")).join(n, "w").filter(enough)
+    kept = item.join(one.select("w", "item"), ["w", "item"], "left_semi").groupBy("w", "basket").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    two = pairs_of(kept, "w").groupBy("w", "x", "y").agg(F.count(F.lit(1)).alias("c")).join(n, "w").filter(enough)  # of frequent items alone
+    c = one.select("w", F.array("item").alias("i"), "c", "n").unionByName(two.select("w", F.array("x", "y").alias("i"), "c", "n"))
     ratio = F.round(F.col("c") / F.col("n"), 4).alias("support_ratio")
     return c.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), format_itemset(F.col("i")).alias("itemset"), F.size("i").alias("size"), F.col("c").alias("support_count"), ratio)

@@ -152,7 +152,7 @@ def port_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.top_ports(windows.port_counts(packets(spark, sf_dir), DAY), 3)
 
 
-FILTERS = "('tcp_only', protocol = 'TCP'), ('udp_only', protocol = 'UDP'), ('dns', dst_port = 53), ('web', dst_port IN (80, 443)), ('large_packets', packet_length > 1000)"
+FILTERS = "('tcp_only', protocol = 'TCP'), ('udp_only', protocol = 'UDP'), ('web_traffic', dst_port IN (80, 443)), ('dns_traffic', dst_port = 53), ('large_packets', packet_length > 1000)"
 
 
 @query(f"""{P} SELECT {w(DAY)} AS window_start, 86400 AS window_len_s, f.name AS filter_name, count(*) FILTER (coalesce(f.hit, false)) AS packets,
@@ -165,7 +165,7 @@ def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = cleaning.parse_filters([{"name": "long", "min_length": 1000}])
     d = cleaning.apply_filter(packets(spark, sf_dir), "long", specs)
-    return cleaning.apply_filter(d, "web").select("event_id", F.col("packet_length").cast("long").alias("packet_length"))
+    return cleaning.apply_filter(d, "web_traffic").select("event_id", F.col("packet_length").cast("long").alias("packet_length"))
 
 
 @query(agg(DAY, "", "count(DISTINCT src_ip) AS src_ips_exact, count(DISTINCT dst_ip) AS dst_ips_exact, count(DISTINCT dst_port) AS ports_exact"))
@@ -286,7 +286,7 @@ def decay_top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ONES = f"""{P}, l AS (SELECT * FROM p ORDER BY event_time DESC, event_id DESC LIMIT 500), b AS (SELECT f.name AS predicate_name, coalesce(f.hit, false)::INT AS bit
- FROM l, LATERAL (VALUES ('is_tcp', protocol = 'TCP'), ('is_udp', protocol = 'UDP'), ('is_large', packet_length >= 1000), ('is_dns', dst_port = 53)) AS f(name, hit))"""
+ FROM l, LATERAL (VALUES ('is_tcp', protocol = 'TCP'), ('is_udp', protocol = 'UDP'), ('is_large_packet', packet_length >= 1000), ('is_https', dst_port = 443)) AS f(name, hit))"""
 
 
 @query(f"{ONES} SELECT predicate_name, count(*) AS window_n, sum(bit)::BIGINT AS exact_ones FROM b GROUP BY 1")

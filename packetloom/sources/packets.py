@@ -83,14 +83,14 @@ def parse_raw_strict(lines: DataFrame, sep: str = "\t") -> DataFrame:
     return d.withColumn("timestamp", ok).drop("reject_reason", "raw_line")
 
 
-#: Shares of TCP, UDP and ICMP, packet length range, and numbers of sources and destinations of generated traffic.
+#: Names of scenarios. Shares of TCP, UDP and ICMP, packet length range, and numbers of sources and destinations of generated traffic.
 SCENARIOS = {
     "normal": (0.8, 0.15, 60, 1500, 9, 10),
     "spike": (0.8, 0.15, 60, 1500, 9, 10),
-    "portscan": (1.0, 0.0, 60, 60, 1, 1),
+    "portscan_like": (1.0, 0.0, 60, 60, 1, 1),
     "fanout": (1.0, 0.0, 64, 64, 1, 99),
-    "dns": (0.1, 0.85, 60, 300, 9, 10),
-    "graph": (0.75, 0.25, 60, 1500, 4, 4),
+    "dns_heavy": (0.1, 0.85, 60, 300, 9, 10),
+    "multi_host_graph": (0.75, 0.25, 60, 1500, 4, 4),
 }
 
 
@@ -111,7 +111,7 @@ def generate(spark: SparkSession, scenario: str = "normal", duration_s: int = 60
     s = s.withColumn("gap", gap).withColumn("at", F.sum("gap").over(run)).withColumn("all", F.sum("gap").over(Window.partitionBy("second")))
     stamp = F.timestamp_millis(((F.lit(base_epoch) + F.col("second") + F.col("at") / (F.col("all") + 1e-3)) * 1000).cast("long"))
     protocol = F.when(draw("proto") < tcp, "TCP").when(draw("proto") < tcp + udp, "UDP").otherwise("ICMP")
-    port = F.when(protocol != "ICMP", F.when(F.lit(scenario == "portscan"), F.floor(draw("port") * 65535)).otherwise(F.element_at(F.array(*map(F.lit, (53, 80, 443, 8443))), (F.floor(draw("port") * 4) + 1).cast("int"))))
+    port = F.when(protocol != "ICMP", F.when(F.lit(scenario == "portscan_like"), F.floor(draw("port") * 65535)).otherwise(F.element_at(F.array(*map(F.lit, (53, 80, 443, 8443))), (F.floor(draw("port") * 4) + 1).cast("int"))))
     return s.select(
         F.date_format(stamp, "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), F.concat(F.lit("192.168.1."), (F.floor(draw("src") * sources) + 10).cast("string")).alias("src_ip"),
         F.concat(F.lit("203.0.113."), (F.floor(draw("dst") * targets) + 1).cast("string")).alias("dst_ip"), F.when(protocol != "ICMP", F.floor(draw("sport") * 16383) + 49152).cast("int").alias("src_port"),

@@ -21,12 +21,18 @@ from ..schema import RESULT_KEYS
 def upsert(new: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Merge rows into a Parquet table by key: a column's new value where it is not null, else the old one.
 
-    Columns only one side has are kept. The merged table is written beside the old one and swapped in.
+    Columns only one side has are kept. The merged table is written beside the old one and swapped in: the old
+    one is set aside, the new one takes its place, and only then does the old one go. A crash in between
+    leaves a whole table under ``path`` or beside it, and the next call puts that one back first.
     """
     spark = new.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    if fs.exists(aside) and not fs.exists(target):
+        fs.rename(aside, target)
+    fs.delete(aside, True)
     merged = new
     if fs.exists(target):
         old = spark.read.parquet(path)
@@ -39,18 +45,26 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str]) -> None:
         merged = o.join(n, same, "full").select(*[F.coalesce(*s).alias(c) for c, s in sides.items()])
     temp = jvm.org.apache.hadoop.fs.Path(f"{path}.next")
     merged.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.rename(target, aside)
     fs.rename(temp, target)
+    fs.delete(aside, True)
 
 
 def upsert_sqlite(new: DataFrame, db_path: str, table: str, keys: Sequence[str] | None = None) -> int:
-    """Upsert a bounded serving result into SQLite in one transaction; rows come one partition at a time. Returns their number."""
+    """Upsert a bounded serving result into SQLite in one transaction; rows come one partition at a time. Returns their number.
+
+    A table that lacks a column of ``new`` gets it, null in its older rows.
+    """
     keys = list(keys or RESULT_KEYS[table])
     cols = new.columns
     rest = [c for c in cols if c not in keys]
     con = sqlite3.connect(db_path, timeout=5)
     try:
         con.execute(f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(cols)}, updated_at, PRIMARY KEY ({', '.join(keys)}))")
+        have = {r[1] for r in con.execute(f"PRAGMA table_info({table})")}
+        for c in (c for c in cols if c not in have):
+            con.execute(f"ALTER TABLE {table} ADD COLUMN {c}")
         sets = ", ".join([f"{c} = coalesce(excluded.{c}, {c})" for c in rest] + ["updated_at = excluded.updated_at"])
         sql = f"INSERT INTO {table} ({', '.join(cols)}, updated_at) VALUES ({', '.join('?' * (len(cols) + 1))}) ON CONFLICT ({', '.join(keys)}) DO UPDATE SET {sets}"
         now, n = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), 0

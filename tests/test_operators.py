@@ -299,11 +299,11 @@ def test_serving(spark, tmp_path):
 
 
 def test_raw_table(spark, tmp_path):
-    src.generate(spark, "dns", 2, 5).write.csv(str(tmp_path / "raw/dt=2024-01-01/hr=00"))
+    src.generate(spark, "dns_heavy", 2, 5).write.csv(str(tmp_path / "raw/dt=2024-01-01/hr=00"))
     serving.register_raw(spark, "raw_packets", str(tmp_path / "raw"))
     assert spark.sql("SELECT count(*) FROM raw_packets WHERE dt = '2024-01-01'").first()[0] == 10
     spark.sql("DROP TABLE raw_packets")
-    serving.write_dataset(src.generate(spark, "dns", 2, 5), str(tmp_path / "set"))
+    serving.write_dataset(src.generate(spark, "dns_heavy", 2, 5), str(tmp_path / "set"))
     assert spark.read.json(str(tmp_path / "set.truth")).first()["packets"] == 10
 
 
@@ -326,7 +326,7 @@ def test_health(spark, tmp_path):
 def test_streamed_alerts_are_judged_once(spark, tmp_path):
     from packetloom.streaming.alerting import start_alerts
 
-    calm, spike = src.generate(spark, "normal", 60, 20), src.generate(spark, "portscan", 10, 200, base_epoch=1758412860.0)
+    calm, spike = src.generate(spark, "normal", 60, 20), src.generate(spark, "portscan_like", 10, 200, base_epoch=1758412860.0)
     later = src.generate(spark, "normal", 5, 1, base_epoch=1758413000.0)
     for i, d in enumerate((calm, spike, later)):
         d.coalesce(1).write.mode("append").csv(str(tmp_path / "in"))
@@ -370,3 +370,27 @@ def test_strict_parser(spark):
     assert (r["timestamp"], r["src_mac"], r["iat_ms"], r["dst_port"]) == ("2024-01-01 00:00:00.123", "aa:bb:cc:00:11:22", 1.0, 2)
     with pytest.raises(Exception, match="WRONG_COLUMNS"):
         src.parse_raw_strict(spark.createDataFrame([("x",)], "value string")).collect()
+
+
+def test_sqlite_table_gains_columns(spark, tmp_path):
+    db = str(tmp_path / "serving.db")
+    sinks.upsert_sqlite(spark.createDataFrame([("a", 1)], "k string, n int"), db, "t", ["k"])
+    sinks.upsert_sqlite(spark.createDataFrame([("a", None, 2.5), ("b", 3, None)], "k string, n int, x double"), db, "t", ["k"])
+    with sqlite3.connect(db) as con:
+        assert sorted(con.execute("SELECT k, n, x FROM t")) == [("a", 1, 2.5), ("b", 3, None)]
+
+
+def test_upsert_after_a_crash_in_the_swap(spark, tmp_path):
+    """The table was set aside and the new one had not yet taken its place: nothing is lost."""
+    path = tmp_path / "t"
+    sinks.upsert(spark.createDataFrame([("a", 1)], "k string, n int"), str(path), ["k"])
+    path.rename(tmp_path / "t.old")
+    sinks.upsert(spark.createDataFrame([("b", 2)], "k string, n int"), str(path), ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(str(path)).collect()) == [("a", 1), ("b", 2)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_private_addresses_have_four_numbers(spark):
+    ips = ["10.1.2.3", "10.x", "172.16.0.1", "172.32.0.1", "192.168.1", "127.0.0.1", "::1", "fd12:3::", "fe80::1", "8.8.8.8", None]
+    d = spark.createDataFrame([(x,) for x in ips], "ip string")
+    assert [r[0] for r in d.select(net.is_private(F.col("ip"))).collect()] == [True, False, True, False, False, True, True, True, True, False, False]
