@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": warc.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.oracle(), "op7_topk": topk.ORACLE}
+    return {"op1_warc_fixity": warc.ORACLE, "op2_minhash": minhash.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.oracle(), "op7_topk": topk.ORACLE}
