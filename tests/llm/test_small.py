@@ -545,16 +545,15 @@ def test_scores_as_bit_by_bit(spark):
             h = end if w is None else word_hash(w)
             one, two = ((past[-k][0] >> 32) if len(past) >= k else 0 for k in (1, 2))
             tail = past[-1][1][-1] if past else 0
-            before = past[-1][1][-2] if past and len(past[-1][1]) > 1 else 0
-            yield code.get(h, 0), [chained(1, one), chained(2, one, two), chained(3, tail, before)]
+            yield code.get(h, 0), [chained(1, one), chained(2, one, two)]
             if w is not None and h not in code:
                 for j, b in enumerate(w + b" "):
-                    x = [w[j - k] if j >= k else 0x100 if j == k - 1 else 0x200 + tail if j == k - 2 else 0 for k in (1, 2, 3, 4)]
+                    x = [w[j - k] if j >= k else 0x100 if j == k - 1 else 0x200 + tail if j == k - 2 else 0 for k in (1, 2, 3)]
                     total = 0
                     for i, c in enumerate(w[:j]):
                         total += int(lm.mix64(np.array([c + (i << 9)], np.uint64))[0])
                     so_far = int(lm.mix64(np.array([total & (1 << 64) - 1], np.uint64))[0]) & u32
-                    yield tree.bytes_at + b, [chained(12, *x[:2]), chained(14, *x), chained(15, so_far)]
+                    yield tree.bytes_at + b, [chained(13, *x), chained(15, so_far)]
             if w is not None:
                 past.append((h, w))
 
