@@ -543,9 +543,10 @@ def test_scores_as_bit_by_bit(spark):
         ws, past = [w for w in text.encode().split(b" ") if w], []
         for w in [*ws, None]:
             h = end if w is None else word_hash(w)
-            one, two = ((past[-k][0] >> 32) if len(past) >= k else 0 for k in (1, 2))
+            one = past[-1][0] >> 32 if past else 0
             tail = past[-1][1][-1] if past else 0
-            yield code.get(h, 0), [chained(1, one), chained(2, one, two)]
+            before = past[-1][1][-2] if past and len(past[-1][1]) > 1 else 0
+            yield code.get(h, 0), [chained(1, one), chained(2, tail, before)]
             if w is not None and h not in code:
                 for j, b in enumerate(w + b" "):
                     x = [w[j - k] if j >= k else 0x100 if j == k - 1 else 0x200 + tail if j == k - 2 else 0 for k in (1, 2, 3)]
