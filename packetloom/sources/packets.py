@@ -43,7 +43,7 @@ def parse_raw(lines: DataFrame, sep: str = "\t") -> DataFrame:
     """Raw capture lines (value) to contract columns with reject_reason, null where the line is a packet.
 
     Rules apply in order: number of fields, no address, bad address, time, length, protocol number,
-    port, inter-arrival time. IPv4 goes before IPv6; ports belong to TCP and UDP; milliseconds are cut.
+    port, inter-arrival time, MAC addresses and flags. IPv4 goes before IPv6; ports belong to TCP and UDP; milliseconds are cut.
     """
     parts = F.split("value", sep, -1)
     f = {n: F.trim(F.get(parts, i)) for i, n in enumerate(RAW_FIELDS)}
@@ -67,6 +67,7 @@ def parse_raw(lines: DataFrame, sep: str = "\t") -> DataFrame:
         F.when(number.isNotNull() & number.try_cast("int").isNull(), "VALIDATION"),
         F.when(bad_port(sport) | bad_port(dport), "BAD_PORT"),
         F.when(F.col("frame_time_delta").isNotNull() & ~F.coalesce(delta >= 0, F.lit(False)), "VALIDATION"),
+        F.when(~F.lower("eth_src").rlike(net.MAC) | ~F.lower("eth_dst").rlike(net.MAC) | ~F.col("tcp_flags").rlike(net.FLAGS), "VALIDATION"),
     )
     stamp = F.date_format(F.timestamp_millis(F.floor(epoch * 1000).cast("long")), "yyyy-MM-dd HH:mm:ss.SSS")
     return lines.select(

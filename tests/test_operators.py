@@ -368,6 +368,8 @@ def test_strict_parser(spark):
     d = spark.createDataFrame([(good,)], "value string")
     r = src.parse_raw_strict(d).first()
     assert (r["timestamp"], r["src_mac"], r["iat_ms"], r["dst_port"]) == ("2024-01-01 00:00:00.123", "aa:bb:cc:00:11:22", 1.0, 2)
+    for bad in (good.replace("AA:BB", "AABB"), good.replace("0x10", "SYN")):
+        assert src.parse_raw(spark.createDataFrame([(bad,)], "value string")).first()["reject_reason"] == "VALIDATION"
     with pytest.raises(Exception, match="WRONG_COLUMNS"):
         src.parse_raw_strict(spark.createDataFrame([("x",)], "value string")).collect()
 
