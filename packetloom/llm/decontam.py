@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, pieces, written
+from .common import PUNCTUATION, Words, pieces, ragged, written
 
 BUCKET_BITS = 16
 CHUNK, CHUNKS = 16, 3  # windows of 48 words begin every 16
@@ -31,6 +31,7 @@ KEPT = 0.99
 LEAST_WORDS = 5
 PASSAGE = 96  # longer items are looked for by passages of so many words
 STOP_IDF = 0.25
+CANDIDATES = 4096  # counted at a time
 #: Documents without any of the words that are added to the count, so that words of small corpora are not all stop words.
 IMAGINED = 1000
 
@@ -96,6 +97,10 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 5, power:
     return (q @ u[:, ::-1])[:, :rank]
 
 
+#: Of windows: text, passage, first word, end word, highest cosine.
+Candidates = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class Index:
     """Items of one block: what scoring a document needs."""
@@ -113,11 +118,20 @@ class Index:
     least: np.ndarray  # of each passage: how many of a window's words are rarer words of it, if the window holds it
     reach: np.ndarray  # of each passage: chunks of such a window
 
-    def candidates(self, w: Words, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, passage, first word, end word, highest cosine) of runs of windows that come near a passage of an item."""
+    def __post_init__(self) -> None:
+        self.lengths = np.array([len(x) for x in self.words], np.int64)
+        self.every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        #: (words of all passages and one more, passages): how often a passage holds a word.
+        self.times = np.zeros((len(self.every) + 1, len(self.words)), np.uint8)
+        for i, x in enumerate(self.words):
+            u, n = np.unique(x, return_counts=True)
+            self.times[np.searchsorted(self.every, u), i] = n
+
+    def candidates(self, w: Words, cosine: float) -> list[Candidates]:
+        """Windows that come near a passage of an item, or hold enough of its rarer words."""
         n = len(w.hash)
         if not n or not len(self.vocabulary):
-            return
+            return []
         b = bucket(w.hash)
         count = np.diff(w.bounds)
         chunks = -(-count // CHUNK)
@@ -144,24 +158,24 @@ class Index:
             total += score[j : j + base[-1]] * same[:, None]
             norm += energy[j : j + base[-1]] * same
         near = total >= (cosine * np.sqrt(np.maximum(norm, 1e-9)))[:, None].astype(np.float32)
-        yield from self.holding(w, base, text[: base[-1]], held, near, total, norm)
+        out = self.holding(w, base, text[: base[-1]], held, near, total, norm)
         at, item = np.nonzero(near)
         if not len(at):
-            return
+            return out
         order = np.lexsort((at, item))
         at, item = at[order], item[order]
         value = total[at, item] / np.sqrt(norm[at])
         cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (at[1:] > at[:-1] + CHUNKS) | (text[at[1:]] != text[at[:-1]]))))
-        for i, j in zip(cut, np.append(cut[1:], len(at)), strict=True):
-            t = int(text[at[i]])
-            room = max(0, len(self.words[item[i]]) - CHUNK)
-            first = w.bounds[t] + (at[i] - base[t]) * CHUNK - room
-            end = w.bounds[t] + (at[j - 1] - base[t] + CHUNKS) * CHUNK + room
-            yield t, int(item[i]), max(int(first), int(w.bounds[t])), min(int(end), int(w.bounds[t + 1])), float(value[i:j].max())
-
-    def holding(self, w: Words, base: np.ndarray, text: np.ndarray, held: np.ndarray, near: np.ndarray, total: np.ndarray, norm: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        begin, end, item = at[cut], at[np.append(cut[1:], len(at)) - 1], item[cut]
+        t = text[begin]
+        room = np.maximum(0, self.lengths[item] - CHUNK)
+        first = np.maximum(w.bounds[t] + (begin - base[t]) * CHUNK - room, w.bounds[t])
+        end = np.minimum(w.bounds[t] + (end - base[t] + CHUNKS) * CHUNK + room, w.bounds[t + 1])
+        return [*out, (t, item, first, end, np.maximum.reduceat(value, cut))]
+
+    def holding(self, w: Words, base: np.ndarray, text: np.ndarray, held: np.ndarray, near: np.ndarray, total: np.ndarray, norm: np.ndarray) -> list[Candidates]:
         """Like ``candidates``, each window that is not near but has the least count of a passage's rarer words."""
-        found = held.copy()
+        found, out = held.copy(), []
         for k in range(1, int(self.reach.max()) + 1):
             if k > 1 and len(text) >= k:
                 found[: 1 - k] += held[k - 1 :] * (text[k - 1 :] == text[: 1 - k])[:, None]
@@ -169,23 +183,48 @@ class Index:
             if not len(some):
                 continue
             at, item = np.nonzero((found[:, some] >= self.least[some]) & ~near[:, some])
-            for c, i in zip(at.tolist(), some[item].tolist(), strict=True):
-                t = int(text[c])
-                first = int(w.bounds[t] + (c - base[t]) * CHUNK)
-                yield t, i, first, min(first + k * CHUNK, int(w.bounds[t + 1])), float(total[c, i] / np.sqrt(max(norm[c], 1e-9)))
+            item, t = some[item], text[at]
+            first = w.bounds[t] + (at - base[t]) * CHUNK
+            out.append((t, item, first, np.minimum(first + k * CHUNK, w.bounds[t + 1]), total[at, item] / np.sqrt(np.maximum(norm[at], 1e-9))))
+        return out
+
+    def places(self, w: Words) -> np.ndarray:
+        """The row of ``times`` of each word."""
+        if not len(self.every):
+            return np.zeros(len(w.hash), np.int64)
+        place = np.minimum(np.searchsorted(self.every, w.hash), len(self.every) - 1)
+        place[self.every[place] != w.hash] = len(self.every)  # a row of zeros
+        return place
+
+    def hopeful(self, place: np.ndarray, found: Candidates, share: float) -> np.ndarray:
+        """Which candidates can pass: a common subsequence has no word oftener than the passage or the region has it."""
+        _, item, first, end, _ = found
+        most = np.zeros(len(item), np.int64)
+        for a in range(0, len(item), CANDIDATES):
+            s = slice(a, a + CANDIDATES)
+            size = end[s] - first[s]
+            of, x = np.repeat(np.arange(len(size)), size), place[ragged(first[s], size)]
+            times = self.times[x, item[s][of]]
+            some = np.flatnonzero(times)
+            key, at, n = np.unique(of[some] * (len(self.every) + 1) + x[some], return_index=True, return_counts=True)
+            most[s] = np.bincount(key // (len(self.every) + 1), np.minimum(n, times[some[at]]), len(size))
+        return np.flatnonzero(most >= share * self.lengths[item])
 
     def matches(self, texts: pa.Array, cosine: float, share: float, answer: float) -> Iterator[tuple[int, int, float, int, int, int, int, float]]:
         """(text, item id, cosine, common words, item words, first word, end word, answer share) that pass all checks; of a text and item the best."""
         for a, w in folded(texts):
             best: dict[tuple[int, int], tuple] = {}
-            for t, i, first, end, value in self.candidates(w, cosine):
-                region, passage = w.hash[first:end], self.words[i]
-                common, last = lcs(passage, region)
-                if common >= share * len(passage):
-                    start = int(w.bounds[t])
-                    row = (common, value, first - start, first + last - start, np.isin(self.answers[self.item[i]], region))
-                    if (t, i) not in best or row[:4] > best[t, i][:4]:
-                        best[t, i] = row
+            place = self.places(w)
+            for some in self.candidates(w, cosine):
+                keep = self.hopeful(place, some, share)
+                for t, i, first, end, value in zip(*(x[keep].tolist() for x in some), strict=True):
+                    region, passage = w.hash[first:end], self.words[i]
+                    common, last = lcs(passage, region)
+                    if common >= share * len(passage):
+                        start = int(w.bounds[t])
+                        row = (common, value, first - start, first + last - start, np.isin(self.answers[self.item[i]], region))
+                        if (t, i) not in best or row[:4] > best[t, i][:4]:
+                            best[t, i] = row
             found: dict[tuple[int, int], list[tuple]] = {}
             for (t, i), row in best.items():
                 found.setdefault((t, self.item[i]), []).append(row)

@@ -192,6 +192,20 @@ def test_short_and_worn_items_in_long_texts(spark):
     assert not {i for i in range(120) if (i, i) not in got}
 
 
+def test_subsequences_only_where_the_words_suffice(spark, monkeypatch):
+    """A window with one rare word of an item many times has enough of its words by count, but no long subsequence."""
+    import pyarrow as pa
+
+    item = words(1, 20, 5000)
+    texts = [" ".join(item.split()[:1] * 200), words(2, 100, 5000) + " " + item, words(3, 200, 5000)]
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    index = decontam.indexes(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), bench, 0.6)[0]
+    seen, lcs = [], decontam.lcs
+    monkeypatch.setattr(decontam, "lcs", lambda a, b: seen.append(set(b.tolist())) or lcs(a, b))
+    assert [r[:2] for r in index.matches(pa.array(texts), 0.35, 0.6, 0.5)] == [(1, 5)]
+    assert seen and all(len(x) > 1 for x in seen)
+
+
 def test_lcs():
     import numpy as np
 
