@@ -1,7 +1,7 @@
 """Benchmark decontamination: latent semantic retrieval, then subsequence and answer checks.
 
-Benchmark items and a bounded sample of corpus passages form a TF-IDF matrix over the benchmark's
-words; a distributed randomised SVD gives its latent space. Every window of every document is folded
+Benchmark items and all passages of all documents form a TF-IDF matrix over the benchmark's words;
+a distributed randomised SVD gives its latent space. Every window of every document is folded
 into that space and compared with every item by cosine; what comes near is checked on the words.
 Beside it, windows that hold enough of an item's rarer words are checked too, so that no item that
 stands in a window is lost to a cosine that the words around it dilute.
@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PUNCTUATION, Words, pieces, ragged, written
+from .lm import PARTS, added_up, packed, part_batch, unpacked
 
 BUCKET_BITS = 16
 CHUNK, CHUNKS = 16, 3  # windows of 48 words begin every 16
 RANK, OVERSAMPLE = 256, 16
 ITEM_BLOCK = 1024
-SAMPLE_PASSAGES, SAMPLE_WEIGHT = 2000, 0.25
+CORPUS_WEIGHT = 125.0  # of all corpus passages together in the latent space; a passage of an item weighs 1
+ROW_BLOCK, SLICE_ROWS = 16, 128  # of products: rows of a dense block, rows of the slices that are added up
 #: Passages of which the latent space keeps less energy than this are compared by their own TF-IDF vectors.
 KEPT = 0.99
 LEAST_WORDS = 5
@@ -66,34 +68,98 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:size], int(df[size])
 
 
-def partial_products(rows: DataFrame, width: int, q: np.ndarray, gram: bool) -> np.ndarray:
-    """Sum over the rows of A of A'(A q), or of (A q)'(A q): each task sends one matrix. ``rows`` are bounded."""
+def corpus_passages(docs: DataFrame, vocabulary: np.ndarray, maybe: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """Sparse rows of unit length, one for every CHUNK * CHUNKS words of every document: blobs of columns, values and row sizes.
+
+    ``idf``: by word of the vocabulary; passages without any word of it of some weight have no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((q.shape[1] if gram else width, q.shape[1]), np.float32)
         for batch in batches:
-            for cols, vals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c, v = np.array(cols, np.int64), np.array(vals)
-                y = v @ q[c]
-                if gram:
-                    out += np.outer(y, y)
-                else:
-                    out[c] += np.outer(v, y)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
-
+            for _, w in folded(batch.column(0)):
+                count = np.diff(w.bounds)
+                many = -(-count // (CHUNK * CHUNKS))
+                row = np.repeat(np.cumsum(many) - many, count) + ragged(np.zeros(len(count), np.int64), count) // (CHUNK * CHUNKS)
+                hit = np.flatnonzero(maybe[bucket(w.hash)])
+                col = np.minimum(np.searchsorted(vocabulary, w.hash[hit]), len(vocabulary) - 1)
+                real = (vocabulary[col] == w.hash[hit]) & (idf[col] > 0)
+                key, times = np.unique(row[hit[real]] * len(vocabulary) + col[real], return_counts=True)
+                if not len(key):
+                    continue
+                row, col = np.divmod(key, len(vocabulary))
+                v = times * idf[col]
+                v /= np.sqrt(np.bincount(row, v * v))[row]
+                size = np.bincount(row)
+                blobs = (col.astype(np.int32), v.astype(np.float32), size[size > 0].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["cols", "vals", "sizes"])
+
+    return docs.select("text").mapInArrow(run, "cols binary, vals binary, sizes binary")
+
+
+def blocks(row: np.ndarray, col: np.ndarray, val: np.ndarray | None, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A sparse matrix in order of its rows as (first row, columns, dense block over these columns); no ``val``: counts."""
+    cut = np.searchsorted(row, np.arange(0, rows + ROW_BLOCK, ROW_BLOCK))
+    for i in np.flatnonzero(cut[1:] > cut[:-1]):
+        s, a = slice(cut[i], cut[i + 1]), int(i) * ROW_BLOCK
+        u, at = np.unique(col[s], return_inverse=True)
+        size = min(ROW_BLOCK, rows - a)
+        x = np.bincount((row[s] - a) * len(u) + at, None if val is None else val[s], size * len(u))
+        yield a, u, x.reshape(size, len(u)).astype(np.float32)
+
+
+def product(c: np.ndarray, v: np.ndarray, size: np.ndarray, q: np.ndarray, gram: bool, out: np.ndarray) -> None:
+    """Adds to ``out`` A'(A q), or (A q)'(A q), for sparse rows of A."""
+    y = np.zeros((len(size), q.shape[1]), np.float32) if gram else None
+    for a, u, x in blocks(np.repeat(np.arange(len(size)), size), c, v, len(size)):
+        part = x @ q[u]
+        if gram:
+            y[a : a + len(x)] = part
+        else:
+            out[u] += x.T @ part
+    if gram:
+        out += y.T @ y
+
+
+def corpus_product(rows: DataFrame, q: np.ndarray, gram: bool) -> tuple[np.ndarray, float]:
+    """Sum over all corpus rows of A of A'(A q), or of (A q)'(A q), and the number of rows: each task sends one matrix, in slices that are added up by tasks."""
     q = q.astype(np.float32)
-    total = np.zeros((q.shape[1] if gram else width, q.shape[1]))
-    for m in rows.select("cols", "vals").mapInArrow(run, "m binary").toArrow()["m"]:
-        total += np.frombuffer(m.as_buffer(), np.float32).reshape(total.shape)
-    return total
+    shape = (q.shape[1] if gram else len(q), q.shape[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = np.zeros(shape, np.float32), 0
+        for batch in batches:
+            for blobs in zip(*batch.columns, strict=True):
+                c, v, size = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int32, np.float32, np.int32), strict=True))
+                product(c, v, size, q, gram, out)
+                n += len(size)
+        if n:
+            yield part_batch([(a // SLICE_ROWS, float(n), packed(out[a : a + SLICE_ROWS])) for a in range(0, shape[0], SLICE_ROWS)])
 
+    total, n = np.zeros(shape), 0.0
+    got = added_up(rows.mapInArrow(run, PARTS), PARTS).toArrow()
+    for i, m, n in zip(got["s"].to_pylist(), got["m"], got["n"].to_pylist(), strict=True):
+        total[i * SLICE_ROWS : (i + 1) * SLICE_ROWS] = unpacked(m.as_py()).reshape(-1, shape[1])
+    return total, n
 
-def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 5, power: int = 2) -> np.ndarray:
-    """The right singular vectors (width, rank) of a distributed sparse matrix by subspace iteration."""
+
+def randomised_svd(rows: DataFrame, given: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int = 5, power: int = 2) -> np.ndarray:
+    """The right singular vectors (width, rank) of a sparse matrix by subspace iteration.
+
+    Its rows: ``given``, and the distributed ``rows`` scaled so that all of them together weigh CORPUS_WEIGHT.
+    """
+    c, v = (np.concatenate([x[j] for x in given]) for j in (0, 1))
+    own = c, v.astype(np.float32), np.array([len(x[0]) for x in given if len(x[0])], np.int64)
     q = np.random.Generator(np.random.PCG64(seed)).standard_normal((width, min(width, rank + OVERSAMPLE)))
+
+    def times(gram: bool) -> np.ndarray:
+        out = np.zeros((q.shape[1] if gram else width, q.shape[1]))
+        product(*own, q.astype(np.float32), gram, out)
+        total, n = corpus_product(rows, q, gram)
+        return out + total * (min(CORPUS_WEIGHT, n) / max(n, 1.0))
+
     for _ in range(power):
-        q = np.linalg.qr(partial_products(rows, width, q, gram=False))[0]
-    _, u = np.linalg.eigh(partial_products(rows, width, q, gram=True))
+        q = np.linalg.qr(times(gram=False))[0]
+    _, u = np.linalg.eigh(times(gram=True))
     return (q @ u[:, ::-1])[:, :rank]
 
 
@@ -145,11 +211,9 @@ class Index:
         hit, col = hit[real], col[real]
         score = np.zeros((base[-1] + CHUNKS - 1, self.weight.shape[1]), np.float32)
         held = np.zeros((base[-1], self.weight.shape[1]), np.uint8)
-        if len(hit):
-            of = chunk[hit]
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            score[of[first]] = np.add.reduceat(self.weight[col], first, axis=0)
-            held[of[first]] = np.add.reduceat(self.rarer[col], first, axis=0, dtype=np.uint8)
+        for a, u, x in blocks(chunk[hit], col, None, int(base[-1])):
+            score[a : a + len(x)] = x @ self.weight[u]
+            held[a : a + len(x)] = x @ self.rarer[u].astype(np.float32)
         energy = np.append(energy, np.zeros(CHUNKS - 1))
         text = np.append(np.repeat(np.arange(len(chunks)), chunks), np.full(CHUNKS - 1, -1))
         total, norm = score[: base[-1]].copy(), energy[: base[-1]].copy()
@@ -252,15 +316,15 @@ def lcs(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return length, last
 
 
-def sparse(cols: np.ndarray, idf: np.ndarray, weight: float) -> tuple[list[int], list[float]]:
-    c, k = np.unique(cols, return_counts=True)
+def sparse(cols: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of a passage of these columns, of unit length."""
+    c, k = np.unique(cols[idf[cols] > 0], return_counts=True)
     v = k * idf[c]
-    return c.tolist(), (weight * v / max(1e-9, float(np.sqrt((v * v).sum())))).tolist()
+    return c, v / max(1e-9, float(np.sqrt((v * v).sum())))
 
 
 def build(docs: DataFrame, items: pa.Table, df: np.ndarray, n: int, share: float) -> Index:
     """The index of one block of items (item_id, text and, where there is one, answer)."""
-    spark = docs.sparkSession
     idf = np.log((n + IMAGINED) / (df + 1.0))
     hashed = []
     for column in ["text", *(["answer"] if "answer" in items.column_names else [])]:
@@ -296,22 +360,8 @@ def build(docs: DataFrame, items: pa.Table, df: np.ndarray, n: int, share: float
         c = np.minimum(np.searchsorted(vocabulary, h), width - 1)
         return c[vocabulary[c] == h]
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for _, w in folded(batch.column(0)):
-                for t in range(len(w.bounds) - 1):
-                    if len(c := columns(w.hash[w.bounds[t] : w.bounds[t] + CHUNK * CHUNKS])):
-                        rows.append(sparse(c, own, SAMPLE_WEIGHT))
-            cols = list(zip(*rows, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.list_(pa.float64()))], ["cols", "vals"])
-
-    rate = min(1.0, SAMPLE_PASSAGES / max(1, n))
-    chosen = docs.filter(F.pmod(F.xxhash64(F.lit("lsa"), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    schema = "cols array<int>, vals array<double>"
-    given = [sparse(columns(x), own, 1.0) for x in words]
-    rows = written(chosen.select("text").mapInArrow(sample, schema).unionByName(spark.createDataFrame(given, schema)).repartition(4), "lsa_rows")
-    v = randomised_svd(rows, width, min(RANK, width))
+    given = [sparse(columns(x), own) for x in words]
+    v = randomised_svd(written(corpus_passages(docs, vocabulary, maybe, own), "lsa_rows"), given, width, min(RANK, width))
     q = np.zeros((width, len(words)))
     for i, (c, x) in enumerate(given):
         q[c, i] = x

@@ -206,6 +206,35 @@ def test_subsequences_only_where_the_words_suffice(spark, monkeypatch):
     assert seen and all(len(x) > 1 for x in seen)
 
 
+def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """A'A over the corpus, against brute force over every 48 words of every document: over 2000 of them, some longer, some repeated, some odd."""
+    import numpy as np
+
+    items = [words(500 + i, 30, 200) for i in range(3)]
+    rows = [(i, words(i, 100 if i % 10 else 20, 200), "en", "s") for i in range(2300)] + [(7, words(7, 100, 200), "en", "s"), (None, words(8, 60, 200), None, None), (9000, None, None, None), (9001, "", None, None)]
+    given, svd = [], decontam.randomised_svd
+    monkeypatch.setattr(decontam, "randomised_svd", lambda rows, *a, **k: given.append(rows) or svd(rows, *a, **k))
+    index = decontam.indexes(docs(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), 0.6)[0]
+    width = len(index.vocabulary)
+    got, n = decontam.corpus_product(given[0], np.eye(width), gram=False)
+    import pyarrow as pa
+
+    place = {w: int(np.searchsorted(index.vocabulary, h)) for t in items for _, x in decontam.folded(pa.array([t])) for w, h in zip(t.split(), x.hash, strict=True)}
+    idf = index.idf[decontam.bucket(index.vocabulary)]
+    want, many = np.zeros((width, width)), 0
+    for _, t, _, _ in rows:
+        t = (t or "").split()
+        for a in range(0, len(t), 48):
+            v = np.zeros(width)
+            for w in t[a : a + 48]:
+                if w in place and idf[place[w]] >= decontam.STOP_IDF:
+                    v[place[w]] += idf[place[w]]
+            if v.any():
+                want += np.outer(v, v) / (v @ v)
+                many += 1
+    assert n == many > 2000 and np.allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
 def test_lcs():
     import numpy as np
 
