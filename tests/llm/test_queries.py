@@ -63,3 +63,27 @@ def test_pipeline_as_its_stages(spark, sf):
     assert not {r["doc_id"] for r in d.filter(r"text rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]'").collect()}
     whole = {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, sf).collect()}
     assert whole == {(r["doc_id"], r["taken"]) for r in d.collect()}
+
+
+def test_pipeline_fits_decontamination_on_every_passage(spark, sf, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from packetloom.llm import decontam
+    from packetloom.llm.common import table
+
+    made, given = [], []
+    build, svd = decontam.build, decontam.randomised_svd
+    monkeypatch.setattr(decontam, "build", lambda *a: made.append(build(*a)) or made[-1])
+    monkeypatch.setattr(decontam, "randomised_svd", lambda rows, *a, **k: given.append(rows) or svd(rows, *a, **k))
+    d = table(spark, sf, "documents")
+    corpus_pipeline.decontaminate(spark, d, sf)
+    index = made[0]
+    told = index.vocabulary[index.idf[decontam.bucket(index.vocabulary)] >= decontam.STOP_IDF]
+    _, n = decontam.corpus_product(given[0], np.ones((len(index.vocabulary), 1)), gram=True)
+    want = 0
+    for text in d.select("text").toArrow()["text"]:
+        for _, w in decontam.folded(pa.array([text.as_py()], pa.string())):
+            there = np.isin(w.hash, told)
+            want += sum(bool(there[a : a + 48].any()) for a in range(0, len(there), 48))
+    assert n == want > d.count()
