@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ RANK, OVERSAMPLE = 256, 16
 ITEM_BLOCK = 1024
 CORPUS_WEIGHT = 125.0  # of all corpus passages together in the latent space; a passage of an item weighs 1
 ROW_BLOCK, SLICE_ROWS = 16, 128  # of products: rows of a dense block, rows of the slices that are added up
+#: A'A over at most so many words is one matrix a task (105 MB) and takes one pass; of more, products with A'A take three.
+GRAM_WORDS, GRAM_SLICE, GRAM_ENTRIES = 5120, 32, 1 << 14
 #: Passages of which the latent space keeps less energy than this are compared by their own TF-IDF vectors.
 KEPT = 0.99
 LEAST_WORDS = 5
@@ -99,11 +102,16 @@ def corpus_passages(docs: DataFrame, vocabulary: np.ndarray, maybe: np.ndarray,
 def blocks(row: np.ndarray, col: np.ndarray, val: np.ndarray | None, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """A sparse matrix in order of its rows as (first row, columns, dense block over these columns); no ``val``: counts."""
     cut = np.searchsorted(row, np.arange(0, rows + ROW_BLOCK, ROW_BLOCK))
+    some = np.zeros(int(col.max(initial=-1)) + 1, bool)
+    at = np.zeros(len(some), np.int64)
     for i in np.flatnonzero(cut[1:] > cut[:-1]):
         s, a = slice(cut[i], cut[i + 1]), int(i) * ROW_BLOCK
-        u, at = np.unique(col[s], return_inverse=True)
+        some[col[s]] = True
+        u = np.flatnonzero(some)
+        some[u] = False
+        at[u] = np.arange(len(u))
         size = min(ROW_BLOCK, rows - a)
-        x = np.bincount((row[s] - a) * len(u) + at, None if val is None else val[s], size * len(u))
+        x = np.bincount((row[s] - a) * len(u) + at[col[s]], None if val is None else val[s], size * len(u))
         yield a, u, x.reshape(size, len(u)).astype(np.float32)
 
 
@@ -142,19 +150,57 @@ def corpus_product(rows: DataFrame, q: np.ndarray, gram: bool) -> tuple[np.ndarr
     return total, n
 
 
+def gram_of(c: np.ndarray, v: np.ndarray, size: np.ndarray, width: int, out: np.ndarray) -> None:
+    """Adds the upper triangle of A'A, width * width cells in ``out``, for sparse rows of A whose columns ascend."""
+    at, end = np.arange(len(c)), np.repeat(np.cumsum(size), size)
+    for a in range(0, len(c), GRAM_ENTRIES):
+        s = slice(a, a + GRAM_ENTRIES)
+        many = end[s] - at[s]
+        right = ragged(at[s], many)
+        np.add.at(out, np.repeat(c[s].astype(np.intp) * width, many) + c[right], np.repeat(v[s], many) * v[right])
+
+
+def corpus_gram(rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
+    """A'A over all corpus rows and the number of rows, in one pass: each task sends one matrix, in slices that are added up by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = np.zeros(width * width, np.float32), 0
+        for batch in batches:
+            for blobs in zip(*batch.columns, strict=True):
+                c, v, size = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int32, np.float32, np.int32), strict=True))
+                gram_of(c, v, size, width, out)
+                n += len(size)
+        if n:
+            step = GRAM_SLICE * width
+            yield part_batch([(i, float(n), packed(out[a : a + step])) for i, a in enumerate(range(0, len(out), step))])
+
+    total, n = np.zeros((width, width)), 0.0
+    got = added_up(rows.mapInArrow(run, PARTS), PARTS).toArrow()
+    for i, m, n in zip(got["s"].to_pylist(), got["m"], got["n"].to_pylist(), strict=True):
+        total[i * GRAM_SLICE : (i + 1) * GRAM_SLICE] = unpacked(m.as_py()).reshape(-1, width)
+    return total + np.triu(total, 1).T, n
+
+
 def randomised_svd(rows: DataFrame, given: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int = 5, power: int = 2) -> np.ndarray:
     """The right singular vectors (width, rank) of a sparse matrix by subspace iteration.
 
     Its rows: ``given``, and the distributed ``rows`` scaled so that all of them together weigh CORPUS_WEIGHT.
+    These are read once if A'A of them is small enough to keep, else written and read in each iteration.
     """
     c, v = (np.concatenate([x[j] for x in given]) for j in (0, 1))
     own = c, v.astype(np.float32), np.array([len(x[0]) for x in given if len(x[0])], np.int64)
     q = np.random.Generator(np.random.PCG64(seed)).standard_normal((width, min(width, rank + OVERSAMPLE)))
+    square = corpus_gram(rows, width) if width <= GRAM_WORDS else None
+    rows = rows if square else written(rows, "lsa_rows")
 
     def times(gram: bool) -> np.ndarray:
         out = np.zeros((q.shape[1] if gram else width, q.shape[1]))
         product(*own, q.astype(np.float32), gram, out)
-        total, n = corpus_product(rows, q, gram)
+        if square:
+            total, n = square[0] @ q, square[1]
+            total = q.T @ total if gram else total
+        else:
+            total, n = corpus_product(rows, q, gram)
         return out + total * (min(CORPUS_WEIGHT, n) / max(n, 1.0))
 
     for _ in range(power):
@@ -192,38 +238,52 @@ class Index:
         for i, x in enumerate(self.words):
             u, n = np.unique(x, return_counts=True)
             self.times[np.searchsorted(self.every, u), i] = n
-
-    def candidates(self, w: Words, cosine: float) -> list[Candidates]:
-        """Windows that come near a passage of an item, or hold enough of its rarer words."""
-        n = len(w.hash)
+        #: By bucket, the first of ``every`` in it or after it, and one more.
+        self.begin = np.searchsorted(self.every, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+        self.begin = np.append(self.begin, len(self.every))
+        #: By row of ``times``, the word's place in the vocabulary or -1.
+        self.column = np.full(len(self.every) + 1, -1)
+        self.column[np.searchsorted(self.every, self.vocabulary)] = np.arange(len(self.vocabulary))
+
+    @cached_property
+    def both(self) -> np.ndarray:
+        """``weight`` and ``rarer`` side by side; made where texts are scored."""
+        return np.concatenate([self.weight, self.rarer.astype(np.float32)], axis=1)
+
+    def candidates(self, w: Words, place: np.ndarray, cosine: float) -> list[Candidates]:
+        """Windows that come near a passage of an item, or hold enough of its rarer words. ``place``: see ``places``.
+
+        Empty chunks after those of each text keep its windows from reaching into the next text.
+        """
+        n, passages = len(w.hash), len(self.words)
         if not n or not len(self.vocabulary):
             return []
-        b = bucket(w.hash)
         count = np.diff(w.bounds)
         chunks = -(-count // CHUNK)
-        base = np.zeros(len(chunks) + 1, np.int64)
-        np.cumsum(chunks, out=base[1:])
-        chunk = np.repeat(base[:-1] - 0, count) + (np.arange(n) - np.repeat(w.bounds[:-1], count)) // CHUNK
-        energy = np.bincount(chunk, self.idf[b] ** 2, base[-1])
-        hit = np.flatnonzero(self.maybe[b])
-        col = np.minimum(np.searchsorted(self.vocabulary, w.hash[hit]), len(self.vocabulary) - 1)
-        real = self.vocabulary[col] == w.hash[hit]
-        hit, col = hit[real], col[real]
-        score = np.zeros((base[-1] + CHUNKS - 1, self.weight.shape[1]), np.float32)
-        held = np.zeros((base[-1], self.weight.shape[1]), np.uint8)
-        for a, u, x in blocks(chunk[hit], col, None, int(base[-1])):
-            score[a : a + len(x)] = x @ self.weight[u]
-            held[a : a + len(x)] = x @ self.rarer[u].astype(np.float32)
-        energy = np.append(energy, np.zeros(CHUNKS - 1))
-        text = np.append(np.repeat(np.arange(len(chunks)), chunks), np.full(CHUNKS - 1, -1))
-        total, norm = score[: base[-1]].copy(), energy[: base[-1]].copy()
+        pad = max(CHUNKS, int(self.reach.max())) - 1
+        rows = chunks + pad * (chunks > 0)
+        base = np.cumsum(rows) - rows
+        every = int(rows.sum())
+        starts = every - pad
+        text = np.repeat(np.arange(len(rows)), rows)
+        real = ragged(np.zeros(len(rows), np.int64), rows) < chunks[text]
+        chunk = np.repeat(base, count) + ragged(np.zeros(len(count), np.int64), count) // CHUNK
+        energy = np.bincount(chunk, self.idf[bucket(w.hash)] ** 2, every)
+        hit = np.flatnonzero(place < len(self.every))
+        col = self.column[place[hit]]
+        hit, col = hit[col >= 0], col[col >= 0]
+        score, held = np.zeros((every, passages), np.float32), np.zeros((every, passages), np.uint8)
+        for a, u, x in blocks(chunk[hit], col, None, every):
+            x = x @ self.both[u]
+            score[a : a + len(x)], held[a : a + len(x)] = x[:, :passages], x[:, passages:]
+        total, norm = score[:starts].copy(), energy[:starts].copy()
         for j in range(1, CHUNKS):
-            same = text[j : j + base[-1]] == text[: base[-1]]
-            total += score[j : j + base[-1]] * same[:, None]
-            norm += energy[j : j + base[-1]] * same
+            total += score[j : j + starts]
+            norm += energy[j : j + starts]
         near = total >= (cosine * np.sqrt(np.maximum(norm, 1e-9)))[:, None].astype(np.float32)
-        out = self.holding(w, base, text[: base[-1]], held, near, total, norm)
-        at, item = np.nonzero(near)
+        near[~real[:starts]] = False
+        out = self.holding(w, base, text, real, held, near, total, norm)
+        at, item = np.divmod(np.flatnonzero(near.ravel()), passages)
         if not len(at):
             return out
         order = np.lexsort((at, item))
@@ -237,27 +297,37 @@ class Index:
         end = np.minimum(w.bounds[t] + (end - base[t] + CHUNKS) * CHUNK + room, w.bounds[t + 1])
         return [*out, (t, item, first, end, np.maximum.reduceat(value, cut))]
 
-    def holding(self, w: Words, base: np.ndarray, text: np.ndarray, held: np.ndarray, near: np.ndarray, total: np.ndarray, norm: np.ndarray) -> list[Candidates]:
+    def holding(self, w: Words, base: np.ndarray, text: np.ndarray, real: np.ndarray, held: np.ndarray, near: np.ndarray, total: np.ndarray, norm: np.ndarray) -> list[Candidates]:
         """Like ``candidates``, each window that is not near but has the least count of a passage's rarer words."""
-        found, out = held.copy(), []
+        starts, out = len(near), []
+        found = held[:starts].copy()
         for k in range(1, int(self.reach.max()) + 1):
-            if k > 1 and len(text) >= k:
-                found[: 1 - k] += held[k - 1 :] * (text[k - 1 :] == text[: 1 - k])[:, None]
-            some = np.flatnonzero(self.reach == k)
-            if not len(some):
+            if k > 1:
+                found += held[k - 1 : k - 1 + starts]
+            if not (self.reach == k).any():
                 continue
-            at, item = np.nonzero((found[:, some] >= self.least[some]) & ~near[:, some])
-            item, t = some[item], text[at]
+            least = np.where(self.reach == k, self.least, 255).astype(np.uint8)  # 255: more than a window has words
+            some = np.flatnonzero((found >= least).ravel())
+            at, item = np.divmod(some, near.shape[1])
+            some = real[at] & ~near.ravel()[some]
+            at, item = at[some], item[some]
+            t = text[at]
             first = w.bounds[t] + (at - base[t]) * CHUNK
             out.append((t, item, first, np.minimum(first + k * CHUNK, w.bounds[t + 1]), total[at, item] / np.sqrt(np.maximum(norm[at], 1e-9))))
         return out
 
     def places(self, w: Words) -> np.ndarray:
-        """The row of ``times`` of each word."""
-        if not len(self.every):
-            return np.zeros(len(w.hash), np.int64)
-        place = np.minimum(np.searchsorted(self.every, w.hash), len(self.every) - 1)
-        place[self.every[place] != w.hash] = len(self.every)  # a row of zeros
+        """The row of ``times`` of each word; words of no passage have the last, of zeros."""
+        b = bucket(w.hash)
+        place = np.full(len(b), len(self.every))
+        at, end = self.begin[b], self.begin[b + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.every[at] == w.hash[left]
+            place[left[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
         return place
 
     def hopeful(self, place: np.ndarray, found: Candidates, share: float) -> np.ndarray:
@@ -279,7 +349,7 @@ class Index:
         for a, w in folded(texts):
             best: dict[tuple[int, int], tuple] = {}
             place = self.places(w)
-            for some in self.candidates(w, cosine):
+            for some in self.candidates(w, place, cosine):
                 keep = self.hopeful(place, some, share)
                 for t, i, first, end, value in zip(*(x[keep].tolist() for x in some), strict=True):
                     region, passage = w.hash[first:end], self.words[i]
@@ -361,7 +431,7 @@ def build(docs: DataFrame, items: pa.Table, df: np.ndarray, n: int, share: float
         return c[vocabulary[c] == h]
 
     given = [sparse(columns(x), own) for x in words]
-    v = randomised_svd(written(corpus_passages(docs, vocabulary, maybe, own), "lsa_rows"), given, width, min(RANK, width))
+    v = randomised_svd(corpus_passages(docs, vocabulary, maybe, own), given, width, min(RANK, width))
     q = np.zeros((width, len(words)))
     for i, (c, x) in enumerate(given):
         q[c, i] = x

@@ -235,6 +235,23 @@ def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
     assert n == many > 2000 and np.allclose(got, want, rtol=1e-3, atol=1e-3)
 
 
+def test_corpus_is_read_once_for_the_latent_space(spark, monkeypatch):
+    """One pass makes A'A where it fits; products with wider matrices give the same space and the same results."""
+    import numpy as np
+
+    items = [words(500 + i, 30, 400) for i in range(6)]
+    rows = [(i, words(i, 90, 400) + (" " + items[i] if i < 6 else ""), "en", "s") for i in range(120)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    passes, product = [], decontam.corpus_product
+    monkeypatch.setattr(decontam, "corpus_product", lambda *a, **k: passes.append(1) or product(*a, **k))
+    once = decontam.indexes(docs(spark, rows), bench, 0.6)[0]
+    got = {(r["doc_id"], r["item_id"], r["common_words"]) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert not passes and {(i, i, 30) for i in range(6)} <= got
+    monkeypatch.setattr(decontam, "GRAM_WORDS", 0)
+    wide = decontam.indexes(docs(spark, rows), bench, 0.6)[0]
+    assert len(passes) == 3 and np.allclose(once.weight, wide.weight, rtol=1e-3, atol=1e-3)
+
+
 def test_lcs():
     import numpy as np
 
