@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,7 @@ class Tree:
     symbol: np.ndarray  # of each hash
     start: np.ndarray  # of each symbol's path, and one more
     step: np.ndarray  # node * 2 + bit
+    place: np.ndarray  # the place gate of each step of a path
     nodes: int
     bytes_at: int  # symbol of byte 0
     byte_step: int  # least step in a byte's path
@@ -187,10 +189,12 @@ class Tree:
         step = np.concatenate((step, byte_step + 2 * made)).astype(np.uint32)
         taken = np.repeat(np.concatenate(([escapes], counts, spelled)), np.diff(start))
         plain = np.bincount(step, taken, 2 * (made + more)).astype(np.float32)
+        depth = ragged(np.zeros(len(start) - 1, np.int64), np.diff(start))
+        place = (np.minimum(depth, DEPTHS - 1) + DEPTHS * (step >= 2 * made)).astype(np.uint8)
         h = hashes[by]
         near = np.searchsorted(h, np.arange(1 << NEAR_BITS, dtype=np.uint64) << np.uint64(64 - NEAR_BITS))
         deep = int(np.diff(np.append(near, len(h))).max())
-        return Tree(h, by + 1, start, step, made + more, len(counts) + 1, 2 * made, plain, near, deep)
+        return Tree(h, by + 1, start, step, place, made + more, len(counts) + 1, 2 * made, plain, near, deep)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The symbol of each word; ESCAPE where it has none."""
@@ -288,10 +292,9 @@ class Symbols:
             symbol = self.symbol[s]
             start = tree.start[symbol]
             size = tree.start[symbol + 1] - start
-            depth = ragged(np.zeros(len(size), np.int64), size)
-            step = tree.step.take(depth + np.repeat(start, size))
-            place = np.minimum(depth, DEPTHS - 1) + DEPTHS * (step >= tree.byte_step)
-            yield Bits(a, size, step, step & np.uint32(1), place, [np.repeat(x[s], size) for x in self.context])
+            at = ragged(start, size)
+            step = tree.step.take(at)
+            yield Bits(a, size, step, step & np.uint32(1), tree.place.take(at).astype(np.int64), [np.repeat(x[s], size) for x in self.context])
 
 
 @dataclass
@@ -305,10 +308,21 @@ class Bits:
     place: np.ndarray
     context: list[np.ndarray]  # of the hashed predictors
 
+    @cached_property
+    def node(self) -> np.ndarray:
+        """A hash of each bit's node."""
+        x = self.step >> np.uint32(1)
+        x *= np.uint32(0x9E3779B1)
+        return x
+
     def slots(self, i: int) -> np.ndarray:
         """The slot of each bit in the table of hashed predictor i."""
-        x = mix32(self.context[i] ^ ((self.step >> np.uint32(1)) * np.uint32(0x9E3779B1)))
-        return ((x * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
+        x = self.context[i] ^ self.node  # then as mix32, in place
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0xC2B2AE35)
+        x >>= np.uint32(32 - SLOT_BITS)
+        return x.astype(np.intp)
 
 
 # ------------------------------------------------------------------ the model
@@ -390,9 +404,9 @@ class Mixer:
         shape, size = (SEEN_GATES, PLACE_GATES), SEEN_GATES * PLACE_GATES
         for a in range(0, len(bit), batch):
             s = slice(a, a + batch)
-            part, g, b = [v[s] for v in x], gate[s], bit[s].astype(np.intp)
+            part, g, b = [v[s] for v in x], gate[s], bit[s]
             stretch = mixed(self.weights(), part, g)
-            err = b - 1 / (1 + np.exp(-stretch))
+            err = b.astype(np.float32) - chance(stretch)
             n = np.bincount(g, minlength=size).reshape(shape)
             scale = [rate / np.sqrt(np.maximum(n.sum(axis=axis), 1)) for axis in (1, 0)]
             for i in range(PREDICTORS):
@@ -404,14 +418,26 @@ class Mixer:
 
 
 def mixed(weights: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-    out = weights[0].take(gate, mode="clip") * x[0]
+    out = weights[0].take(gate, mode="clip")
+    out *= x[0]
     for i in range(1, PREDICTORS):
-        out += weights[i].take(gate, mode="clip") * x[i]
+        part = weights[i].take(gate, mode="clip")
+        part *= x[i]
+        out += part
     return np.clip(out, -14, 14, out=out)
 
 
+def chance(stretch: np.ndarray) -> np.ndarray:
+    p = np.negative(stretch)
+    np.exp(p, out=p)
+    p += np.float32(1)
+    return np.reciprocal(p, out=p)
+
+
 def bucket(stretch: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(stretch * np.float32(2)) + np.float32(BUCKETS // 2), 0, BUCKETS - 1).astype(np.int64)
+    x = np.rint(stretch * np.float32(2))
+    x += np.float32(BUCKETS // 2)
+    return np.clip(x, 0, BUCKETS - 1, out=x).astype(np.int64)
 
 
 @dataclass
@@ -422,6 +448,13 @@ class Model:
     counts: Counts
     mixer: Mixer
 
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By step, the prediction without context; the weights; by place and bucket, factor and summand of a refined probability. Made where texts are scored."""
+        n = self.mixer.refine
+        all_ = n.sum(axis=2) + 8
+        return self.counts.without()[0], self.mixer.weights(), (0.5 + 4 / all_).astype(np.float32).ravel(), (0.5 * n[:, :, 1] / all_).astype(np.float32).ravel()
+
     def log2p(self, w: Words) -> np.ndarray:
         """Base-2 log probability of each text of a piece."""
         return self.coded(Symbols(w, self.tree), len(w.off) - 1)
@@ -429,21 +462,23 @@ class Model:
     def coded(self, symbols: Symbols, texts: int) -> np.ndarray:
         """Base-2 log probability of the symbols of each text."""
         out = np.zeros(texts)
-        plain, weights = self.counts.without()[0], self.mixer.weights()
-        n = self.mixer.refine
-        met, all_ = n[:, :, 1].astype(np.float32).ravel(), (n.sum(axis=2) + 8).astype(np.float32).ravel()
-        eight, half, low = np.float32(8), np.float32(0.5), np.float32(2.0**-20)
+        plain, weights, factor, summand = self.tables
+        low = np.float32(2.0**-20)
         for b in symbols.bits(self.tree):
-            x, gate = [plain.take(b.step)], b.place.copy()
+            x, gate = [plain.take(b.step, mode="clip")], b.place.copy()
             for i in range(PREDICTORS - 1):
-                s = self.counts.states[i].take(b.slots(i))
+                s = self.counts.states[i].take(b.slots(i), mode="clip").astype(np.intp)
                 x.append(STRETCH.take(s, mode="clip"))
                 gate += SEEN[i].take(s, mode="clip")
             stretch = mixed(weights, x, gate)
-            p = 1 / (1 + np.exp(-stretch))
-            at = b.place * BUCKETS + bucket(stretch)
-            p = np.clip((p + (met.take(at) + eight * p) / all_.take(at)) * half, low, 1 - low)
-            each = np.add.reduceat(np.append(np.log2(np.abs(1 - b.bit - p)), np.float32(0)), np.cumsum(b.size) - b.size, dtype=np.float64)
+            p = chance(stretch)
+            at = b.place * BUCKETS
+            at += bucket(stretch)
+            p *= factor.take(at, mode="clip")
+            p += summand.take(at, mode="clip")
+            np.clip(p, low, 1 - low, out=p)
+            p -= 1 - b.bit.astype(np.float32)
+            each = np.add.reduceat(np.append(np.log2(np.abs(p, out=p), out=p), np.float32(0)), np.cumsum(b.size) - b.size, dtype=np.float64)
             out += np.bincount(symbols.text[b.first : b.first + len(b.size)], np.where(b.size, each, 0), len(out))
         return out
 
@@ -571,10 +606,10 @@ def trained(learn: DataFrame, tree: Tree, counts: Counts) -> Mixer:
         for batch in batches:
             for _, _, buf, off in pieces(batch.column(0)):
                 for b in Symbols(Words(buf, off), tree).bits(tree):
-                    x, gate = [plain.take(b.step)], b.place.copy()
+                    x, gate = [plain.take(b.step, mode="clip")], b.place.copy()
                     own = b.bit.astype(np.intp) << 8
                     for i in range(PREDICTORS - 1):
-                        s = own + counts.states[i].take(b.slots(i))
+                        s = own + counts.states[i].take(b.slots(i), mode="clip")
                         x.append(STRETCH_LESS.take(s, mode="clip"))
                         gate += SEEN_LESS[i].take(s, mode="clip")
                     m.learn(x, gate, b.place, b.bit)

@@ -647,6 +647,21 @@ def test_scores_as_bit_by_bit(spark):
         assert abs(got - total) < 1e-3 * max(1, abs(total))
 
 
+def test_tables_of_the_model_are_made_once(spark, monkeypatch):
+    """However many pieces of text are scored; and each piece as it is alone."""
+    import numpy as np
+
+    texts = [words(70 + i, 30, 50) for i in range(6)]
+    m, made, without = fitted(spark, texts, 1), [], lm.Counts.without
+    monkeypatch.setattr(lm.Counts, "without", lambda c: made.append(1) or without(c))
+
+    def piece(some):
+        off = np.cumsum([0, *(len(t) for t in some)])
+        return lm.Words(np.frombuffer("".join(some).encode(), np.uint8), off)
+
+    assert np.allclose(m.log2p(piece(texts)), [m.log2p(piece([t]))[0] for t in texts]) and len(made) == 1
+
+
 def test_codes_are_a_distribution(spark):
     """In any context the probabilities of all words with codes and the escape add up to 1, and those of all bytes."""
     import numpy as np
