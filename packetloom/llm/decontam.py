@@ -10,7 +10,7 @@ stands in a window is lost to a cosine that the words around it dilute.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -29,8 +29,8 @@ RANK, OVERSAMPLE = 256, 16
 ITEM_BLOCK = 1024
 CORPUS_WEIGHT = 125.0  # of all corpus passages together in the latent space; a passage of an item weighs 1
 ROW_BLOCK, SLICE_ROWS = 16, 128  # of products: rows of a dense block, rows of the slices that are added up
-#: A'A over at most so many words is one matrix a task (105 MB) and takes one pass; of more, products with A'A take three.
-GRAM_WORDS, GRAM_SLICE, GRAM_ENTRIES = 5120, 32, 1 << 14
+#: The upper triangle of A'A over at most so many words is kept by each task (52 MB) and takes one pass; of more, products with A'A take three.
+GRAM_WORDS, GRAM_SLICE, GRAM_ENTRIES = 5120, 1 << 17, 1 << 14
 #: Passages of which the latent space keeps less energy than this are compared by their own TF-IDF vectors.
 KEPT = 0.99
 LEAST_WORDS = 5
@@ -71,7 +71,23 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:size], int(df[size])
 
 
-def corpus_passages(docs: DataFrame, vocabulary: np.ndarray, maybe: np.ndarray, idf: np.ndarray) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+ROWS_SCHEMA = "cols binary, vals binary, sizes binary"
+
+
+@dataclass
+class Passages:
+    """Rows that are made from texts in the Python worker that uses them; one mapInArrow after another would hold two workers a task."""
+
+    texts: DataFrame
+    rows: Callable[[Batches], Batches]
+
+    def mapInArrow(self, use: Callable[[Batches], Batches], schema: str) -> DataFrame:
+        rows = self.rows
+        return self.texts.mapInArrow(lambda batches: use(rows(batches)), schema)
+
+
+def corpus_passages(docs: DataFrame, vocabulary: np.ndarray, maybe: np.ndarray, idf: np.ndarray) -> Passages:
     """Sparse rows of unit length, one for every CHUNK * CHUNKS words of every document: blobs of columns, values and row sizes.
 
     ``idf``: by word of the vocabulary; passages without any word of it of some weight have no row.
@@ -96,7 +112,7 @@ def corpus_passages(docs: DataFrame, vocabulary: np.ndarray, maybe: np.ndarray,
                 blobs = (col.astype(np.int32), v.astype(np.float32), size[size > 0].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["cols", "vals", "sizes"])
 
-    return docs.select("text").mapInArrow(run, "cols binary, vals binary, sizes binary")
+    return Passages(docs.select("text"), run)
 
 
 def blocks(row: np.ndarray, col: np.ndarray, val: np.ndarray | None, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -128,7 +144,7 @@ def product(c: np.ndarray, v: np.ndarray, size: np.ndarray, q: np.ndarray, gram:
         out += y.T @ y
 
 
-def corpus_product(rows: DataFrame, q: np.ndarray, gram: bool) -> tuple[np.ndarray, float]:
+def corpus_product(rows: DataFrame | Passages, q: np.ndarray, gram: bool) -> tuple[np.ndarray, float]:
     """Sum over all corpus rows of A of A'(A q), or of (A q)'(A q), and the number of rows: each task sends one matrix, in slices that are added up by tasks."""
     q = q.astype(np.float32)
     shape = (q.shape[1] if gram else len(q), q.shape[1])
@@ -151,37 +167,42 @@ def corpus_product(rows: DataFrame, q: np.ndarray, gram: bool) -> tuple[np.ndarr
 
 
 def gram_of(c: np.ndarray, v: np.ndarray, size: np.ndarray, width: int, out: np.ndarray) -> None:
-    """Adds the upper triangle of A'A, width * width cells in ``out``, for sparse rows of A whose columns ascend."""
+    """Adds the upper triangle of A'A, row after row in ``out``, for sparse rows of A whose columns ascend."""
     at, end = np.arange(len(c)), np.repeat(np.cumsum(size), size)
     for a in range(0, len(c), GRAM_ENTRIES):
         s = slice(a, a + GRAM_ENTRIES)
         many = end[s] - at[s]
         right = ragged(at[s], many)
-        np.add.at(out, np.repeat(c[s].astype(np.intp) * width, many) + c[right], np.repeat(v[s], many) * v[right])
+        i = c[s].astype(np.intp)
+        np.add.at(out, np.repeat(i * width - i * (i + 1) // 2, many) + c[right], np.repeat(v[s], many) * v[right])
 
 
-def corpus_gram(rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
+def corpus_gram(rows: DataFrame | Passages, width: int) -> tuple[np.ndarray, float]:
     """A'A over all corpus rows and the number of rows, in one pass: each task sends one matrix, in slices that are added up by tasks."""
+    cells = width * (width + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = np.zeros(width * width, np.float32), 0
+        out, n = np.zeros(cells, np.float32), 0
         for batch in batches:
             for blobs in zip(*batch.columns, strict=True):
                 c, v, size = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blobs, (np.int32, np.float32, np.int32), strict=True))
                 gram_of(c, v, size, width, out)
                 n += len(size)
         if n:
-            step = GRAM_SLICE * width
-            yield part_batch([(i, float(n), packed(out[a : a + step])) for i, a in enumerate(range(0, len(out), step))])
+            yield part_batch([(i, float(n), packed(out[a : a + GRAM_SLICE])) for i, a in enumerate(range(0, cells, GRAM_SLICE))])
 
-    total, n = np.zeros((width, width)), 0.0
+    flat, n = np.zeros(cells), 0.0
     got = added_up(rows.mapInArrow(run, PARTS), PARTS).toArrow()
     for i, m, n in zip(got["s"].to_pylist(), got["m"], got["n"].to_pylist(), strict=True):
-        total[i * GRAM_SLICE : (i + 1) * GRAM_SLICE] = unpacked(m.as_py()).reshape(-1, width)
-    return total + np.triu(total, 1).T, n
+        flat[i * GRAM_SLICE : (i + 1) * GRAM_SLICE] = unpacked(m.as_py())
+    total, at = np.zeros((width, width)), 0
+    for i in range(width):
+        total[i, i:] = total[i:, i] = flat[at : at + width - i]
+        at += width - i
+    return total, n
 
 
-def randomised_svd(rows: DataFrame, given: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int = 5, power: int = 2) -> np.ndarray:
+def randomised_svd(rows: Passages, given: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int = 5, power: int = 2) -> np.ndarray:
     """The right singular vectors (width, rank) of a sparse matrix by subspace iteration.
 
     Its rows: ``given``, and the distributed ``rows`` scaled so that all of them together weigh CORPUS_WEIGHT.
@@ -191,7 +212,7 @@ def randomised_svd(rows: DataFrame, given: list[tuple[np.ndarray, np.ndarray]],
     own = c, v.astype(np.float32), np.array([len(x[0]) for x in given if len(x[0])], np.int64)
     q = np.random.Generator(np.random.PCG64(seed)).standard_normal((width, min(width, rank + OVERSAMPLE)))
     square = corpus_gram(rows, width) if width <= GRAM_WORDS else None
-    rows = rows if square else written(rows, "lsa_rows")
+    rows = rows if square else written(rows.mapInArrow(lambda batches: batches, ROWS_SCHEMA), "lsa_rows")
 
     def times(gram: bool) -> np.ndarray:
         out = np.zeros((q.shape[1] if gram else width, q.shape[1]))

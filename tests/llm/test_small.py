@@ -252,6 +252,31 @@ def test_corpus_is_read_once_for_the_latent_space(spark, monkeypatch):
     assert len(passes) == 3 and np.allclose(once.weight, wide.weight, rtol=1e-3, atol=1e-3)
 
 
+def test_latent_space_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Workers stay and count with their executor's memory; each also keeps only half of A'A, which is symmetric."""
+    import numpy as np
+
+    items = [words(500 + i, 30, 400) for i in range(6)]
+    d = docs(spark, [(i, words(i, 90, 400), "en", "s") for i in range(40)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    plans, added, wrote = [], decontam.added_up, decontam.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+    monkeypatch.setattr(decontam, "added_up", lambda parts, *a: plan(parts) or added(parts, *a))
+    monkeypatch.setattr(decontam, "written", lambda df, *a: plan(df) or wrote(df, *a))
+    index = decontam.indexes(d, bench, 0.6)[0]
+    assert plans == [1]
+    monkeypatch.setattr(decontam, "GRAM_WORDS", 0)
+    decontam.indexes(d, bench, 0.6)
+    assert plans == [1, 1, 1, 1, 1]  # rows written, then passed three times
+    width = len(index.vocabulary)
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((50, width)) < 0.05, rng.random((50, width)), 0).astype(np.float32)
+    row, col = np.nonzero(dense)
+    half = np.zeros(width * (width + 1) // 2, np.float32)
+    decontam.gram_of(col.astype(np.int32), dense[row, col], np.bincount(row, minlength=50), width, half)
+    assert np.allclose(half, (dense.T @ dense)[np.triu_indices(width)], atol=1e-4)
+
+
 def test_lcs():
     import numpy as np
 
