@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fim, langid, licenses, lm, manifest, minhash, mixing, pii, suffixes, topk, warc
+from . import decontam, fim, jaccard, langid, licenses, lm, manifest, minhash, mixing, pii, suffixes, topk, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_links(table(spark, sf_dir, "documents"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -61,10 +65,11 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        op1_warc_fixity, op2_minhash, op3_decontam, op4_pii, op5_mixing, op6_suffixes, op7_topk, op8_licenses, op9_langid, op10_lm, op12_fim, op13_manifest,
+        op1_warc_fixity, op2_minhash, op3_decontam, op4_pii, op5_mixing, op6_suffixes, op7_topk, op8_licenses, op9_langid, op10_lm,
+        op11_jaccard, op12_fim, op13_manifest,
     )
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": warc.ORACLE, "op2_minhash": minhash.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.oracle(), "op7_topk": topk.ORACLE, "op12_fim": fim.ORACLE, "op13_manifest": manifest.ORACLE}
+    return {"op1_warc_fixity": warc.ORACLE, "op2_minhash": minhash.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.oracle(), "op7_topk": topk.ORACLE, "op11_jaccard": jaccard.ORACLE, "op12_fim": fim.ORACLE, "op13_manifest": manifest.ORACLE}
