@@ -87,6 +87,54 @@ def fm_distinct(df: DataFrame, item: str, length_s: int = 10, hashes: int = 30,
     return s.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.round(fm_estimate([F.col(f"fm{i}") for i in range(hashes)], groups), 6).alias("estimate"))
 
 
+# ------------------------------------------------------------------ both by window
+#: 64-bit hashes whose bits are the signs of the second moment's sums.
+F2_WORDS = 2
+
+
+def f2_salt(seed: int, word: int) -> int:
+    """Salts of the sign hashes, beyond those of the bitmaps."""
+    return seed * 10000 + 9000 + word
+
+
+def f2_sums(item: Column, times: Column, seed: int = 0) -> list[Column]:
+    """Aggregates that make the sketch: sums of +-times, the signs from hashed items; sketches merge by adding. The mean square of a sum is F2."""
+    words = [salted_hash(item, f2_salt(seed, w)) for w in range(F2_WORDS)]
+    return [F.sum(times * (1 - 2 * F.shiftright(w, j).bitwiseAND(1))).alias(f"z{64 * i + j}") for i, w in enumerate(words) for j in range(64)]
+
+
+def f2_estimate(sums: Sequence[Column], groups: int = 8) -> Column:
+    """The median over groups of the mean square of their sums."""
+    if groups <= 0 or len(sums) % groups:
+        raise ValueError("sums must divide into groups")
+    size = len(sums) // groups
+    squares = F.transform(F.array(*sums), lambda x: x.cast("double") * x.cast("double"))
+    means = [F.aggregate(F.slice(squares, g * size + 1, size), F.lit(0.0), lambda a, x: a + x) / F.lit(float(size)) for g in range(groups)]
+    order, mid = F.array_sort(F.array(*means)), groups // 2
+    return F.get(order, F.lit(mid)) if groups % 2 else (F.get(order, F.lit(mid - 1)) + F.get(order, F.lit(mid))) / 2
+
+
+def window_sketches(df: DataFrame, length_s: int = 10, hashes: int = 30, groups: int = 5, f2_groups: int = 8, seed: int = 42) -> DataFrame:
+    """packets, estimated distinct sources and destinations (Flajolet-Martin) and their second moments, by window.
+
+    Packets are counted by window and item before anything is hashed. Destinations take the next seed. A null item is
+    none: a window whose items are all null has the estimates of empty sketches.
+    """
+    start = F.floor(F.unix_seconds("event_time") / length_s) * length_s
+    d = df.filter("event_time is not null").select(start.alias("at"), "src_ip", "dst_ip")
+    out = d.groupBy("at").agg(F.count(F.lit(1)).alias("packets"))
+    for side, s in (("src", seed), ("dst", seed + 1)):
+        c = d.groupBy("at", F.col(f"{side}_ip").alias("item")).agg(F.count(F.lit(1)).alias("c")).filter("item is not null")
+        sums, maps = f2_sums(F.col("item"), F.col("c"), s), fm_bitmaps(F.col("item"), hashes, s)
+        a = c.groupBy("at").agg(*maps, *sums)
+        held = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+        est = out.select("at").join(a, "at", "left").select(
+            "at", F.round(fm_estimate([F.col(f"fm{i}") for i in range(hashes)], groups), 6).alias(f"{side}_ips_fm"), F.round(f2_estimate([held(f"z{i}") for i in range(len(sums))], f2_groups), 6).alias(f"{side}_f2")
+        )
+        out = out.join(est, "at")
+    return out.select(F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.lit(length_s).alias("window_len_s"), "packets", "src_ips_fm", "dst_ips_fm", "src_f2", "dst_f2")
+
+
 # ------------------------------------------------------------------ second moment
 def f2_exact(df: DataFrame, item: str, length_s: int = 10) -> DataFrame:
     """The sum of squared counts of the items of each window."""
