@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import signal
 
 from .operators import history
 from .plans import registry
@@ -30,7 +31,10 @@ def main(argv: list[str] | None = None) -> int:
         n, m = history.compact_hour(spark, layout.zone("raw"), layout.zone("historical"), date, hour)
         out = {"date": date, "hour": hour, "rows_in": n, "rows_out": m}
     elif a.command == "run":
-        for q in registry.run(spark, registry.load_config(a.config)):
+        queries = registry.run(spark, registry.load_config(a.config))
+        for s in (signal.SIGTERM, signal.SIGINT):
+            signal.signal(s, lambda *_: registry.stop(queries))
+        for q in queries:
             q.awaitTermination()
         return 0
     else:

@@ -33,36 +33,89 @@ def load_config(path: str) -> AlertConfig:
     return AlertConfig(**{k: type(known[k])(v) for k, v in given.items() if k in known})
 
 
-def spikes(metrics: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """Windows whose pps reaches a multiple of the baseline before it: (window_start, alert_type, severity, src_ip, observed, baseline, change_pct).
+#: Windows are scanned by a tree over their seconds since 1970: so many bits a level, up to 2**40 seconds.
+LEVEL_BITS, LEVELS = 10, 4
+#: An affine map x -> a x + b and the number of windows that made it.
+MAP = "struct<a:double,b:double,n:long>"
 
-    One fold over the windows in order; the state is (baseline, windows counted). Windows under
-    min_pps leave it as it is, the first sets it, and up to the warm-up it only learns. baseline is the
-    one after the window, change_pct is against the one before. There is one row a window, whatever
-    the traffic, so the list the fold runs over grows with time only.
-    """
+
+def _map(a: Column, b: Column, n: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+
+
+def _then(f: Column, g: Column) -> Column:
+    """First ``f``, then ``g``."""
+    return _map(g["a"] * f["a"], g["a"] * f["b"] + g["b"], f["n"] + g["n"])
+
+
+def baseline_maps(metrics: DataFrame, config: AlertConfig, seen: int = 0) -> DataFrame:
+    """(at, window_start, pps, m): what each window does to the baseline. Windows under min_pps are the identity, the
+    first that counts (unless ``seen`` were counted before) sets it, every other moves it by alpha."""
     c = config
-    rows = metrics.agg(F.array_sort(F.collect_list(F.struct("window_start", F.col("pps").cast("double").alias("pps")))).alias("r"))
+    d = metrics.select(F.unix_seconds(F.try_to_timestamp("window_start")).alias("at"), "window_start", F.col("pps").cast("double").alias("pps"))
+    counts = F.coalesce(F.col("pps") >= c.min_pps, F.lit(False))
+    moves = _map(F.lit(1 - c.alpha), F.lit(c.alpha) * F.col("pps"), F.lit(1).cast("long"))
+    if not seen:
+        first = d.filter(counts).agg(F.min(F.struct("at", "window_start", "pps")).alias("first"))
+        d = d.join(F.broadcast(first))  # one row
+        moves = F.when(F.struct("at", "window_start", "pps") == F.col("first"), _map(F.lit(0.0), F.col("pps"), F.lit(1).cast("long"))).otherwise(moves)
+    return d.select("at", "window_start", "pps", F.when(counts, moves).otherwise(_map(F.lit(1.0), F.lit(0.0), F.lit(0).cast("long"))).cast(MAP).alias("m"))
+
+
+def _levels(maps: DataFrame) -> list[DataFrame]:
+    """The tree's nodes from the segments of windows up to one root: (id, kids, m), kids in order, at most 2**LEVEL_BITS seconds apart."""
+    out, node, order = [], maps.withColumn("id", F.col("at")), ["at", "window_start", "pps"]
+    identity = _map(F.lit(1.0), F.lit(0.0), F.lit(0).cast("long"))
+    for _ in range(LEVELS):
+        kids = F.array_sort(F.collect_list(F.struct(*order, "m"))).alias("kids")
+        up = node.groupBy(F.shiftright("id", LEVEL_BITS).alias("id")).agg(kids)
+        node = up.withColumn("m", F.aggregate("kids", identity, lambda f, k: _then(f, k["m"])))
+        out.append(node)
+        node, order = node.select("id", "m"), ["id"]
+    return out
+
+
+def baseline_after(metrics: DataFrame, config: AlertConfig = AlertConfig(), start: tuple[float, int] = (0.0, 0)) -> tuple[float, int]:
+    """(baseline, windows counted) after all windows, from what ``start`` says was before them."""
+    found = _levels(baseline_maps(metrics, config, start[1]))[-1].select("m").first()  # one root
+    return (found["m"]["a"] * start[0] + found["m"]["b"], start[1] + found["m"]["n"]) if found else start
+
+
+def baselines(metrics: DataFrame, config: AlertConfig = AlertConfig(), start: tuple[float, int] = (0.0, 0)) -> DataFrame:
+    """(window_start, pps, before, counted): the baseline before each window and the windows counted up to then.
+
+    An associative scan: maps of windows are composed by segments of time and these by segments again, then what
+    came before is handed down. No task holds more windows than a segment has seconds, however long the series.
+    """
+    maps = baseline_maps(metrics, config, start[1])
+    tree = _levels(maps)
+    down = tree[-1].select("id", _map(F.lit(0.0), F.lit(float(start[0])), F.lit(int(start[1])).cast("long")).cast(MAP).alias("f"))
+    for i, level in reversed(list(enumerate(tree))):
 
-    def step(s: Column, x: Column) -> Column:
-        pps = x["pps"]
-        base, n = s["base"], s["n"]
-        new = F.lit(c.alpha) * pps + F.lit(1 - c.alpha) * base
-        hot = (n + 1 >= c.warmup_windows) & (n > 0) & (pps >= c.warn_multiplier * base)
-        level = F.when(pps >= c.critical_multiplier * base, "CRITICAL").otherwise("WARN")
-        alert = F.struct(x["window_start"].alias("window_start"), level.alias("severity"), pps.alias("observed"), new.alias("baseline"), F.when(base > 0, (pps - base) / base * 100).otherwise(0.0).alias("change_pct"))
-        return (
-            F.when(pps < c.min_pps, s)
-            .when(n == 0, F.struct(pps.alias("base"), F.lit(1).alias("n"), s["out"].alias("out")))
-            .otherwise(F.struct(new.alias("base"), (n + 1).alias("n"), F.when(hot, F.concat(s["out"], F.array(alert))).otherwise(s["out"]).alias("out")))
-        )
-
-    kind = "array<struct<window_start:string,severity:string,observed:double,baseline:double,change_pct:double>>"
-    start = F.struct(F.lit(0.0).alias("base"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-    out = rows.select(F.explode(F.aggregate("r", start, step)["out"]).alias("a"))
-    return out.select(
-        "a.window_start", F.lit("TRAFFIC_SPIKE").alias("alert_type"), "a.severity", F.lit(None).cast("string").alias("src_ip"),
-        F.round("a.observed", 6).alias("observed"), F.round("a.baseline", 6).alias("baseline"), F.round("a.change_pct", 6).alias("change_pct"),
+        def step(s: Column, k: Column) -> Column:
+            return F.struct(_then(s["f"], k["m"]).alias("f"), F.concat(s["out"], F.array(s["f"])).alias("out"))
+
+        whole = level.select("id", "kids").join(down, "id")
+        begin = F.struct(F.col("f"), F.array().cast(f"array<{MAP}>").alias("out"))
+        each = F.explode(F.arrays_zip("kids", F.aggregate("kids", begin, step)["out"].alias("before"))).alias("k")
+        names = ("at", "window_start", "pps") if i == 0 else ("id",)
+        down = whole.select(each).select(*[F.col(f"k.kids.{c}").alias(c) for c in names], F.col("k.before").alias("f"))
+    return down.select("window_start", "pps", F.col("f.b").alias("before"), F.col("f.n").alias("counted"))
+
+
+def spikes(metrics: DataFrame, config: AlertConfig = AlertConfig(), start: tuple[float, int] = (0.0, 0)) -> DataFrame:
+    """Windows whose pps reaches a multiple of the baseline before it: (window_start, alert_type, severity, src_ip, observed, baseline, change_pct).
+
+    Windows under min_pps leave the baseline as it is, the first sets it, and up to the warm-up it only learns. baseline is the
+    one after the window, change_pct is against the one before. ``start`` is the baseline and the number of windows
+    counted before these, so that a stream need not look at old windows again (see ``baseline_after``).
+    """
+    c, old, pps = config, F.col("before"), F.col("pps")
+    hot = (pps >= c.min_pps) & (F.col("counted") > 0) & (F.col("counted") + 1 >= c.warmup_windows) & (pps >= c.warn_multiplier * old)
+    level = F.when(pps >= c.critical_multiplier * old, "CRITICAL").otherwise("WARN")
+    return baselines(metrics, config, start).filter(hot).select(
+        "window_start", F.lit("TRAFFIC_SPIKE").alias("alert_type"), level.alias("severity"), F.lit(None).cast("string").alias("src_ip"), F.round(pps, 6).alias("observed"),
+        F.round(F.lit(c.alpha) * pps + F.lit(1 - c.alpha) * old, 6).alias("baseline"), F.round(F.when(old > 0, (pps - old) / old * 100).otherwise(0.0), 6).alias("change_pct"),
     )
 
 

@@ -66,7 +66,12 @@ def fp_growth(b: DataFrame, min_support: float = 0.05) -> DataFrame:
 
 def rolling(df: DataFrame, window_s: int = 60, slide_s: int = 10, slice_s: int = 1, min_support: float = 0.05) -> DataFrame:
     """Frequent itemsets of one and two by sliding event-time window; baskets are counted in every window that holds their slice."""
-    b = baskets(df, slice_s).withColumn("w", F.window(F.timestamp_seconds("slice"), f"{window_s} seconds", f"{slide_s} seconds"))
+    return rolling_of(baskets(df, slice_s), window_s, slide_s, min_support)
+
+
+def rolling_of(b: DataFrame, window_s: int = 60, slide_s: int = 10, min_support: float = 0.05) -> DataFrame:
+    """The same from baskets (basket, slice, items)."""
+    b = b.withColumn("w", F.window(F.timestamp_seconds("slice"), f"{window_s} seconds", f"{slide_s} seconds"))
     n = b.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     enough = F.col("c") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(min_support)))
     item = b.select("w", "basket", F.explode("items").alias("item"))

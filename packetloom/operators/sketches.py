@@ -114,11 +114,11 @@ def f2_estimate(sums: Sequence[Column], groups: int = 8) -> Column:
     return F.get(order, F.lit(mid)) if groups % 2 else (F.get(order, F.lit(mid - 1)) + F.get(order, F.lit(mid))) / 2
 
 
-def window_sketches(df: DataFrame, length_s: int = 10, hashes: int = 30, groups: int = 5, f2_groups: int = 8, seed: int = 42) -> DataFrame:
-    """packets, estimated distinct sources and destinations (Flajolet-Martin) and their second moments, by window.
+def sketch_state(df: DataFrame, length_s: int = 10, hashes: int = 30, seed: int = 42) -> DataFrame:
+    """(window_start, window_len_s, packets, src_fm, src_z, dst_fm, dst_z): the mergeable sketches of each window as arrays.
 
     Packets are counted by window and item before anything is hashed. Destinations take the next seed. A null item is
-    none: a window whose items are all null has the estimates of empty sketches.
+    none: a window whose items are all null has empty sketches.
     """
     start = F.floor(F.unix_seconds("event_time") / length_s) * length_s
     d = df.filter("event_time is not null").select(start.alias("at"), "src_ip", "dst_ip")
@@ -126,13 +126,33 @@ def window_sketches(df: DataFrame, length_s: int = 10, hashes: int = 30, groups:
     for side, s in (("src", seed), ("dst", seed + 1)):
         c = d.groupBy("at", F.col(f"{side}_ip").alias("item")).agg(F.count(F.lit(1)).alias("c")).filter("item is not null")
         sums, maps = f2_sums(F.col("item"), F.col("c"), s), fm_bitmaps(F.col("item"), hashes, s)
-        a = c.groupBy("at").agg(*maps, *sums)
-        held = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-        est = out.select("at").join(a, "at", "left").select(
-            "at", F.round(fm_estimate([F.col(f"fm{i}") for i in range(hashes)], groups), 6).alias(f"{side}_ips_fm"), F.round(f2_estimate([held(f"z{i}") for i in range(len(sums))], f2_groups), 6).alias(f"{side}_f2")
-        )
-        out = out.join(est, "at")
-    return out.select(F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.lit(length_s).alias("window_len_s"), "packets", "src_ips_fm", "dst_ips_fm", "src_f2", "dst_f2")
+        zero = F.lit(0).cast("long")
+        held = c.groupBy("at").agg(*maps, *sums).select("at", F.array(*[f"fm{i}" for i in range(hashes)]).alias("fm"), F.array(*[f"z{i}" for i in range(len(sums))]).alias("z"))
+        out = out.join(held, "at", "left").withColumnsRenamed({"fm": f"{side}_fm", "z": f"{side}_z"})
+        out = out.withColumns({f"{side}_fm": F.coalesce(f"{side}_fm", F.array_repeat(zero, hashes)), f"{side}_z": F.coalesce(f"{side}_z", F.array_repeat(zero, len(sums)))})
+    return out.select(F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.lit(length_s).alias("window_len_s"), "packets", "src_fm", "src_z", "dst_fm", "dst_z")
+
+
+def merged_bitmaps(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def merged_sums(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def estimated(state: DataFrame, hashes: int = 30, groups: int = 5, f2_groups: int = 8) -> DataFrame:
+    """Distinct sources and destinations and their second moments, from windows' sketches."""
+    made = []
+    for side in ("src", "dst"):
+        made.append(F.round(fm_estimate([F.get(f"{side}_fm", F.lit(i)) for i in range(hashes)], groups), 6).alias(f"{side}_ips_fm"))
+        made.append(F.round(f2_estimate([F.get(f"{side}_z", F.lit(i)) for i in range(64 * F2_WORDS)], f2_groups), 6).alias(f"{side}_f2"))
+    return state.select("window_start", "window_len_s", "packets", made[0], made[2], made[1], made[3])
+
+
+def window_sketches(df: DataFrame, length_s: int = 10, hashes: int = 30, groups: int = 5, f2_groups: int = 8, seed: int = 42) -> DataFrame:
+    """packets, estimated distinct sources and destinations (Flajolet-Martin) and their second moments, by window."""
+    return estimated(sketch_state(df, length_s, hashes, seed), hashes, groups, f2_groups)
 
 
 # ------------------------------------------------------------------ second moment

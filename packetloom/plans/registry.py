@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import cleaning, windows
 from ..schema import RESULT_KEYS
 from ..sources.packets import stream_packets
-from ..streaming.sinks import start_sink, upsert
+from ..streaming import dispatch
+from ..streaming.sinks import start_sink
+from ..streaming.tables import SnapshotTable, retain_all
 
 log = logging.getLogger(__name__)
 
@@ -34,6 +36,7 @@ class Config:
     max_files: int = 100
     top_ports: int = 20
     enabled: tuple[str, ...] | None = None
+    plugins: tuple[str, ...] | None = None
     filters: tuple[dict, ...] = field(default_factory=tuple)
 
 
@@ -105,20 +108,56 @@ def register_defaults() -> None:
     register(Operator("noop", "noop", lambda df, n, c: df.limit(0) if not df.isStreaming else df.filter("false")))
 
 
+def result_table(spark: SparkSession, config: Config, table: str, length_s: int) -> SnapshotTable:
+    return SnapshotTable(spark, f"{config.output_path}/{table}_{length_s}", RESULT_KEYS[table])
+
+
+def plugins(config: Config) -> list[dispatch.Plugin]:
+    """The plugins of the fan-out that are named, in order; None is all."""
+    known = {p.name: p for p in dispatch.default_plugins()}
+    names = tuple(known) if config.plugins is None else config.plugins
+    for n in names:
+        if n not in known:
+            log.warning("unknown plugin %s", n)
+    return [known[n] for n in names if n in known]
+
+
 def run(spark: SparkSession, config: Config) -> list[StreamingQuery]:
-    """Start every enabled operator for every window length; each query has its own checkpoint and table."""
+    """Start every enabled operator for every window length, and the fan-out to the plugins.
+
+    Each query has its own checkpoint and its own tables, which a reader sees whole at every moment (``result_table(...).read()``).
+    Operators see valid packets; invalid ones are counted in the fan-out's query and go to its dead letters.
+    """
     if not _registry:
         register_defaults()
-    valid, _ = cleaning.split_valid(cleaning.clean(stream_packets(spark, config.input_path, config.max_files)))
+    cleaned = cleaning.clean(stream_packets(spark, config.input_path, config.max_files))
+    valid, _ = cleaning.split_valid(cleaned)
     out = []
     for op in enabled(config.enabled):
         if op.name == "noop":
             continue
         for n in config.windows_s:
-            path = f"{config.output_path}/{op.table}_{n}"
+            table = result_table(spark, config, op.table, n)
 
-            def write(batch: DataFrame, _id: int, path: str = path, keys: tuple[str, ...] = RESULT_KEYS[op.table]) -> None:
-                upsert(batch, path, keys)
+            def write(batch: DataFrame, batch_id: int, table: SnapshotTable = table) -> None:
+                ctx = dispatch.Context(batch.sparkSession, table.path, batch_id)
+                table.merge(batch, ctx.txn("operator"))
 
             out.append(start_sink(op.build(valid, n, config), write, f"{config.checkpoint_root}/{op.name}_{n}", trigger_s=config.trigger_s))
+    if chosen := plugins(config):
+        out.append(dispatch.start_dispatcher(cleaned, f"{config.output_path}/plugins", f"{config.checkpoint_root}/plugins", chosen, config.trigger_s, config.watermark_s))
     return out
+
+
+def stop(queries: Sequence[StreamingQuery]) -> None:
+    """Stop after what is running: each query ends with its batch, none waits for another."""
+    for q in queries:
+        if q.isActive:
+            log.info("stopping %s", q.name or q.id)
+            q.stop()
+
+
+def retain(spark: SparkSession, config: Config, now: str, hours: int = 24) -> dict[str, int]:
+    """Delete old windows of every operator's table; rows deleted by table."""
+    tables = {f"{op.table}_{n}": result_table(spark, config, op.table, n) for op in enabled(config.enabled) if op.name != "noop" for n in config.windows_s}
+    return retain_all({k: t for k, t in tables.items() if t.versions()}, now, hours)

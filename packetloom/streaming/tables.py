@@ -153,10 +153,11 @@ class SnapshotTable:
 
         return self._attempt(change, txn)
 
-    def merge(self, rows: DataFrame, txn: Txn | None = None, combine: dict[str, Combine] | None = None, scope: Sequence[str] = ()) -> bool:
+    def merge(self, rows: DataFrame, txn: Txn | None = None, combine: dict[str, Combine] | None = None, scope: Sequence[str] = (), keep: Column | None = None) -> bool:
         """Upsert by key: a column's new value where it is not null, else the old one, or what ``combine`` says for rows on both sides.
 
-        With ``scope`` (some key columns), old rows with the same scope as a new one are replaced as a whole.
+        With ``scope`` (some key columns), old rows with the same scope as a new one are replaced as a whole. With
+        ``keep``, rows of the touched buckets that it is not true of go.
         """
         held = rows.withColumn(BUCKET, self.bucket).persist()
         try:
@@ -173,7 +174,7 @@ class SnapshotTable:
                         new = old.join(there, self._same(old, there, scope), "left_anti").unionByName(new, allowMissingColumns=True)
                     else:
                         new = self._merged(old, new, combine or {})
-                name, got = self._write(new)
+                name, got = self._write(new if keep is None else new.filter(keep))
                 kept = {b: f for b, f in m.buckets.items() if b not in touched}
                 return Manifest(0, schema, kept | {b: [name] for b in got}, m.txn)
 

@@ -275,7 +275,10 @@ def test_runner(spark, tmp_path):
     for _ in range(2):
         for q in registry.run(spark, c):
             q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/window_metrics_10")).agg(F.sum("packets")).first()[0] == 200
+    assert registry.result_table(spark, c, "window_metrics", 10).read().agg(F.sum("packets")).first()[0] == 200
+    gone = registry.retain(spark, c, "2025-09-23 00:00:00")
+    assert set(gone) == {"window_metrics_10", "protocol_counts_10"} and min(gone.values()) > 0
+    assert registry.result_table(spark, c, "window_metrics", 10).read().count() == 0
 
 
 def test_bloom_loses_nothing(spark):
@@ -324,7 +327,7 @@ def test_health(spark, tmp_path):
 
 
 def test_streamed_alerts_are_judged_once(spark, tmp_path):
-    from packetloom.streaming.alerting import start_alerts
+    from packetloom.streaming.alerting import alert_table, start_alerts
 
     calm, spike = src.generate(spark, "normal", 60, 20), src.generate(spark, "portscan_like", 10, 200, base_epoch=1758412860.0)
     later = src.generate(spark, "normal", 5, 1, base_epoch=1758413000.0)
@@ -333,9 +336,9 @@ def test_streamed_alerts_are_judged_once(spark, tmp_path):
         valid, _ = cleaning.split_valid(cleaning.clean(src.stream_packets(spark, str(tmp_path / "in"))))
         for q in start_alerts(valid, str(tmp_path / "out"), config=alerts.AlertConfig(min_pps=5, warmup_windows=3), trigger_s=None):
             q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out/alerts_spikes")).collect()
+    got = alert_table(spark, str(tmp_path / "out"), "spikes").read().collect()
     assert [(r["window_start"], r["severity"]) for r in got] == [("2025-09-21 00:01:00", "CRITICAL")]
-    scans = spark.read.parquet(str(tmp_path / "out/alerts_sources")).filter("alert_type = 'UNUSUAL_PORT_ACTIVITY'").collect()
+    scans = alert_table(spark, str(tmp_path / "out"), "sources").read().filter("alert_type = 'UNUSUAL_PORT_ACTIVITY'").collect()
     assert [r["window_start"] for r in scans] == ["2025-09-21 00:01:00"]
 
 
