@@ -69,6 +69,14 @@ def transitions(e: DataFrame, weight: str = "packets") -> DataFrame:
     return e.withColumn("t", total).filter("t > 0").select("src", "dst", (w / F.col("t")).alias("p")).filter("p > 0")
 
 
+def markov_rows(e: DataFrame, weight: str = "packets") -> DataFrame:
+    """(src, dst, p): the whole Markov matrix. A dangling vertex goes anywhere alike: its uniform row is one row, without dst, whose p is that of every vertex."""
+    t, v = transitions(e, weight), vertices_of(e)
+    loose = v.join(t.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    return t.unionByName(loose.join(F.broadcast(n)).select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), (F.lit(1.0) / F.col("n")).alias("p")))  # one row
+
+
 def next_hop(e: DataFrame, src: str, weight: str = "packets", k: int = 10) -> DataFrame:
     """The ``k`` likeliest next vertices; none for an unknown or dangling one."""
     t = transitions(e.filter(F.col("src") == src), weight)
@@ -120,12 +128,10 @@ def pagerank(e: DataFrame, alpha: float = 0.85, weight: str = "packets", max_ite
     The edge list is counted first: at most ``local_edges`` are iterated by one task, more by joins
     whose state is checkpointed, so that no list of vertices is ever on the driver.
     """
-    e = e.select("src", "dst", *WEIGHTS).persist()
+    e = e.select("src", "dst", *WEIGHTS)
     if e.limit(local_edges + 1).count() <= local_edges:
-        out = _local(e, alpha, weight, max_iter, tol, personal)
-    else:
-        out = _joined(e, alpha, weight, max_iter, tol, personal)
-    return out
+        return _local(e, alpha, weight, max_iter, tol, personal)
+    return _joined(e, alpha, weight, max_iter, tol, personal)[0]
 
 
 def _local(e: DataFrame, alpha: float, weight: str, max_iter: int, tol: float, personal: dict[str, float] | None) -> DataFrame:
@@ -144,36 +150,41 @@ def _local(e: DataFrame, alpha: float, weight: str, max_iter: int, tol: float, p
     return e.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id string, rank double")
 
 
-def _joined(e: DataFrame, alpha: float, weight: str, max_iter: int, tol: float, personal: dict[str, float] | None) -> DataFrame:
+def _joined(e: DataFrame, alpha: float, weight: str, max_iter: int, tol: float, personal: dict[str, float] | None) -> tuple[DataFrame, bool]:
+    """(ranks, whether they converged); the mass of dangling vertices is one sum, spread evenly."""
     spark = e.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    t = transitions(e, weight).persist()
+    t = transitions(e, weight).checkpoint()
     v = vertices_of(e).join(t.select(F.col("src").alias("id")).distinct().withColumn("flows", F.lit(True)), "id", "left").checkpoint()
     n = v.count()
     wanted = F.lit(0.0)
-    if personal and (total := sum(personal.values())) > 0:
+    if not n:
+        wanted = F.lit(0.0)
+    elif personal and (total := sum(personal.values())) > 0:
         for name, x in personal.items():
             wanted = F.when(F.col("id") == name, x / total).otherwise(wanted)
     else:
         wanted = F.lit(1.0 / n)
-    x = v.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(max_iter):
+    x, settled = v.withColumn("rank", F.lit(1.0 / max(n, 1))), False
+    for _ in range(max_iter if n else 0):
         loose = x.filter("flows is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         flow = t.join(x.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("flow"))
         new = x.join(flow, "id", "left").withColumn("new", F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + loose / n) + F.lit(1 - alpha) * wanted)
         new = new.select("id", "flows", "rank", "new").checkpoint()
         moved = new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0]
         x = new.select("id", "flows", F.col("new").alias("rank"))
-        if moved < tol:
+        if settled := moved < tol:
             break
-    return x.select("id", "rank")
+    return x.select("id", "rank"), settled
 
 
-def stationary(e: DataFrame, weight: str = "packets", max_iter: int = 1000, tol: float = 1e-8) -> DataFrame:
-    """(id, rank) without teleports; no rows where the iteration does not converge. For graphs of LOCAL_EDGES at most."""
-    if e.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        return pagerank(e, 1.0, weight, max_iter, tol)
+def stationary(e: DataFrame, weight: str = "packets", max_iter: int = 1000, tol: float = 1e-8, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, rank) without teleports; no rows where the iteration does not converge, at every size. Over ``local_edges`` it goes on by joins."""
+    e = e.select("src", "dst", *WEIGHTS)
+    if e.limit(local_edges + 1).count() > local_edges:
+        x, settled = _joined(e, 1.0, weight, max_iter, tol, None)
+        return x if settled else x.limit(0)
     _weight(weight)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

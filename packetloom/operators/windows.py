@@ -71,6 +71,22 @@ def distinct_counts(df: DataFrame, length_s: int = 10, watermark_s: int = 30, rs
     return _out(df.groupBy(w).agg(*exact, *hll), length_s, *[f"{n}_{k}" for k in ("exact", "hll") for n in cols])
 
 
+SKETCHED = {"src_ips": "src_ip", "dst_ips": "dst_ip", "ports": "dst_port"}
+
+
+def distinct_sketches(df: DataFrame, length_s: int = 10, watermark_s: int = 30, bits: int = 12) -> DataFrame:
+    """Sources, destinations and ports by window as HLL sketches of 2**``bits`` registers: small, and to be stored and merged. The same in batch and stream."""
+    df, w = windowed(df, length_s, watermark_s)
+    return _out(df.groupBy(w).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), bits).alias(n) for n, c in SKETCHED.items()]), length_s, *SKETCHED)
+
+
+def distinct_rollup(stored: DataFrame, length_s: int) -> DataFrame:
+    """Distinct counts of longer windows from stored sketches of shorter ones; packets are not read again. ``length_s`` is a multiple of theirs."""
+    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.to_timestamp("window_start")) / length_s) * length_s)
+    merged = stored.groupBy(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start")).agg(*[F.hll_union_agg(n).alias(n) for n in SKETCHED])
+    return merged.select("window_start", F.lit(length_s).alias("window_len_s"), *[F.hll_sketch_estimate(n).alias(n) for n in SKETCHED])
+
+
 def moments(df: DataFrame, length_s: int = 10, watermark_s: int = 30) -> DataFrame:
     """Mean, sample variance and deviation of length and inter-arrival time; null for a single value."""
     df, w = windowed(df, length_s, watermark_s)

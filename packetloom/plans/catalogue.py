@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import net
 from ..operators import alerts, cleaning, graph, history, itemsets, membership, sketches, windows
 from ..sources import packets as src
-from ..streaming.sinks import finished
+from ..streaming import keyed
+from ..streaming.sinks import appended, finished
 from ..streaming.stateful import counting_ones_dgim
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,3 +552,63 @@ for _table, _build in (("window_metrics", windows.window_metrics), ("protocol_co
     query(ORACLES[_table], f"stream_{_table}")(lambda spark, sf_dir, f=_build: finished(f(src.stream_events(spark, sf_dir), HOUR)))
 for _table, _build in (("ip_edges", windows.ip_edges), ("source_stats", windows.source_stats), ("filter_counts", lambda d, n: windows.filter_counts(d, length_s=n))):
     query(ORACLES[_table], f"stream_{_table}")(lambda spark, sf_dir, f=_build: finished(f(src.stream_events(spark, sf_dir), DAY)))
+
+
+# ------------------------------------------------------------------ mergeable sketches, keyed state and repeats
+def sketch_oracle(n: int, hashes: int = 30, groups: int = 5, f2_groups: int = 8, seed: int = 42, where: str = "") -> str:
+    """Both sketches of both sides by window; ``where`` picks windows."""
+    size, f2_size = hashes // groups, 64 * sketches.F2_WORDS // f2_groups
+    swap = " || ".join(f"substr(h, {2 * i + 1}, 2)" for i in reversed(range(8)))
+    bits = f"(('0x' || {swap})::UBIGINT)::BIT::VARCHAR"
+    return f"""{P}, d AS (SELECT {w(n)} AS window_start, side, item, count(*) AS c FROM (SELECT event_time, 0 AS side, src_ip AS item FROM p UNION ALL SELECT event_time, 1, dst_ip FROM p) GROUP BY ALL),
+x AS (SELECT window_start, side, i, sha256((({seed} + side) * 10000 + i)::VARCHAR || ':' || item) AS h FROM d, range({hashes}) r(i)),
+z AS (SELECT window_start, side, i, {bits} AS b FROM x),
+y AS (SELECT window_start, side, i, list(DISTINCT length(b) - length(rtrim(b, '0'))) AS l FROM z GROUP BY ALL), f AS (SELECT window_start, side, i, list_min([r for r in range(0, 65) if NOT list_contains(l, r)]) AS r FROM y),
+g AS (SELECT window_start, side, i // {size} AS g, pow(2, avg(r)) / {sketches.PHI} AS est FROM f GROUP BY ALL), fm AS (SELECT window_start, side, round(median(est), 6) AS fm FROM g GROUP BY ALL),
+k AS (SELECT window_start, side, word, c, h FROM (SELECT *, sha256((({seed} + side) * 10000 + 9000 + word)::VARCHAR || ':' || item) AS h FROM d, range({sketches.F2_WORDS}) r(word))),
+v AS (SELECT window_start, side, word, c, {bits} AS b FROM k), u AS (SELECT window_start, side, 64 * word + j AS e, sum(c * (1 - 2 * substr(b, 64 - j, 1)::BIGINT)) AS s FROM v, range(64) r(j) GROUP BY ALL),
+m AS (SELECT window_start, side, e // {f2_size} AS g, avg(s::DOUBLE * s::DOUBLE) AS est FROM u GROUP BY ALL), f2 AS (SELECT window_start, side, round(median(est), 6) AS f2 FROM m GROUP BY ALL),
+n AS (SELECT {w(n)} AS window_start, count(*) AS packets FROM p GROUP BY 1)
+SELECT n.window_start, {n} AS window_len_s, packets, a.fm AS src_ips_fm, b.fm AS dst_ips_fm, s.f2 AS src_f2, t.f2 AS dst_f2 FROM n JOIN fm a ON a.window_start = n.window_start AND a.side = 0 JOIN fm b ON b.window_start = n.window_start AND b.side = 1
+JOIN f2 s ON s.window_start = n.window_start AND s.side = 0 JOIN f2 t ON t.window_start = n.window_start AND t.side = 1 {where}"""
+
+
+@query(sketch_oracle(DAY))
+def window_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.window_sketches(packets(spark, sf_dir), DAY)
+
+
+#: Windows that the watermark has passed at the end of the stream.
+CLOSED = "WHERE epoch(n.window_start::TIMESTAMP) + {n} <= (SELECT epoch(max(event_time)) - 30 FROM p)"
+
+
+@query(sketch_oracle(DAY, where=CLOSED.format(n=DAY)))
+def stream_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream, in append mode: the closed windows."""
+    return appended(keyed.stream_sketches(src.stream_events(spark, sf_dir), DAY))
+
+
+@query(f"SELECT * FROM ({ORACLES['itemsets_rolling']}) WHERE epoch(window_start::TIMESTAMP) + 86400 <= (SELECT epoch(max(ts)) - 30 FROM events)")
+def stream_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling itemsets over a stream, whose counts follow what enters and leaves: the closed windows."""
+    return appended(keyed.stream_itemset_counts(src.stream_events(spark, sf_dir), DAY, 21600, HOUR, 30, 8), "update", keyed.frequent)
+
+
+@query(f"{P} SELECT {w(DAY)} AS window_start, {DAY} AS window_len_s, count(DISTINCT src_ip) AS src_ips, count(DISTINCT dst_ip) AS dst_ips, count(DISTINCT dst_port) AS ports FROM p GROUP BY 1")
+def distinct_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily estimates from hourly sketches; of so few items a sketch of 2**16 registers is exact."""
+    return windows.distinct_rollup(windows.distinct_sketches(packets(spark, sf_dir), HOUR, bits=16), DAY)
+
+
+@query(f"{P} SELECT event_id, src_ip, dst_ip, protocol FROM p")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet of a stream in which some come two or three times."""
+    d = src.stream_events(spark, sf_dir)
+    again = d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 7 == 0, 2).when(F.col("event_id") % 3 == 0, 1).otherwise(0))))
+    return appended(src.once(again, ("event_id",))).select("event_id", "src_ip", "dst_ip", "protocol")
+
+
+@query(f"{TRANS} SELECT src, dst, round(p, 9) AS p FROM t WHERE p > 0 UNION ALL SELECT id, NULL, round(1.0 / (SELECT count(*) FROM d), 9) FROM d WHERE out_w = 0")
+def markov_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = graph.markov_rows(edges(spark, sf_dir))
+    return t.select("src", "dst", F.round("p", 9).alias("p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,6 +155,13 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("iat_ms", gap)
 
 
+def once(df: DataFrame, keys: Sequence[str] = ("event_time", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_length"), watermark_s: int = 30) -> DataFrame:
+    """Each packet once: of rows with equal keys the first. A stream keeps a key until the watermark is past it, and drops later rows as late."""
+    if not df.isStreaming:
+        return df.dropDuplicates(list(keys))
+    return df.withWatermark("event_time", f"{watermark_s} seconds").dropDuplicatesWithinWatermark(list(keys))
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a stream of packets."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -15,12 +16,18 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from ..operators import sketches
 from ..operators.sketches import F2_WORDS, PHI, f2_salt
 
+# Spark checks a processor in a process beside the driver, which knows nothing of files sent to executors: it gets the code itself.
+for _module in (sys.modules[__name__], sketches):
+    cloudpickle.register_pickle_by_value(_module)
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UTC = pa.timestamp("us", tz="UTC")
 

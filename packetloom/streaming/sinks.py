@@ -98,6 +98,17 @@ def finished(df: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def appended(df: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all that is there and return the rows it gave, each batch through ``each``, kept in the shared folder."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    root = f"{root}/streams/{uuid.uuid4().hex}"
+    # A batch that runs twice writes the same folder.
+    q = start_sink(df, lambda b, i: (each(b) if each else b).write.mode("overwrite").parquet(f"{root}/out/batch={i}"), f"{root}/checkpoint", mode, None)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
 def csv_files(df: DataFrame, path: str, checkpoint: str, max_records: int = 100_000, trigger_s: int = 60):
     """A stream as CSV files of bounded size, a set each trigger; closed files are never touched again."""
     return df.writeStream.format("csv").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", max_records).trigger(processingTime=f"{trigger_s} seconds").start()

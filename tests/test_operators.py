@@ -399,3 +399,67 @@ def test_private_addresses_have_four_numbers(spark):
     ips = ["10.1.2.3", "10.x", "172.16.0.1", "172.32.0.1", "192.168.1", "127.0.0.1", "::1", "fd12:3::", "fe80::1", "8.8.8.8", None]
     d = spark.createDataFrame([(x,) for x in ips], "ip string")
     assert [r[0] for r in d.select(net.is_private(F.col("ip"))).collect()] == [True, False, True, False, False, True, True, True, True, False, False]
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_stationary_is_alike_at_all_sizes(spark, local):
+    """By joins and in one task: the same vector where there is one, no rows where there is none."""
+    e = edges(spark, [("A", "B", 1, 1), ("B", "A", 1, 1), ("A", "A", 1, 1), ("B", "B", 3, 3), ("B", "C", 1, 1)])
+    got = {r["id"]: r["rank"] for r in graph.stationary(e, local_edges=local).collect()}
+    p = {"A": {"A": 1 / 2, "B": 1 / 2}, "B": {"A": 1 / 5, "B": 3 / 5, "C": 1 / 5}, "C": dict.fromkeys("ABC", 1 / 3)}
+    assert set(got) == set("ABC") and all(abs(sum(got[u] * p[u].get(v, 0) for u in p) - got[v]) < 1e-6 for v in got)
+    swings = edges(spark, [("A", "B", 1, 1), ("B", "A", 1, 1), ("B", "C", 1, 1), ("C", "B", 1, 1)])
+    assert graph.stationary(swings, max_iter=8, local_edges=local).count() == 0
+
+
+def test_markov_rows_add_up(spark):
+    e = edges(spark, [("A", "B", 1, 1), ("A", "C", 3, 1), ("B", "D", 0, 1)])
+    rows = graph.markov_rows(e).collect()
+    assert {(r["src"], r["dst"]): r["p"] for r in rows} == {("A", "B"): 0.25, ("A", "C"): 0.75, ("B", None): 0.25, ("C", None): 0.25, ("D", None): 0.25}
+
+
+def test_baselines_are_those_of_a_fold(spark):
+    """Any gaps, windows that do not count, and a start in the middle."""
+    r = random.Random(4)
+    at, rows = 1_700_000_000, []
+    for _ in range(600):
+        at += r.choice([10, 10, 10, 20, 5000, 2_000_000])
+        rows.append((at, r.choice([5.0, 60.0, 70.0, 200.0, 500.0])))
+    c = alerts.AlertConfig(warmup_windows=5)
+    m = spark.createDataFrame(rows, "at long, pps double").select(F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "pps", "at")
+    base, n, want = 0.0, 0, []
+    for t, pps in rows:
+        want.append((t, base if n else 0.0, n))
+        if pps >= c.min_pps:
+            base, n = (pps if not n else c.alpha * pps + (1 - c.alpha) * base), n + 1
+    got = alerts.baselines(m, c).withColumn("at", F.unix_timestamp("window_start")).orderBy("at").select("at", "before", "counted").collect()
+    assert all(a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(got, want, strict=True))
+    first, rest = m.filter(F.col("at") < rows[300][0]), m.filter(F.col("at") >= rows[300][0])
+    start = alerts.baseline_after(first, c)
+    both = sorted(map(str, alerts.spikes(first, c).collect() + alerts.spikes(rest, c, start).collect()))
+    assert both == sorted(map(str, alerts.spikes(m, c).collect())) and len(both) > 10
+    assert alerts.baseline_after(m.limit(0), c, start) == start and alerts.spikes(m.limit(0), c).count() == 0
+
+
+def test_longer_windows_from_stored_sketches(spark, tmp_path):
+    d = spark.range(40_000).select(F.timestamp_micros(F.col("id") * 3000).alias("event_time"), (F.col("id") % 9000).cast("string").alias("src_ip"), (F.col("id") % 77).cast("string").alias("dst_ip"), F.lit(80).alias("dst_port"))
+    windows.distinct_sketches(d, 10).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    for n in (10, 30, 60):
+        want = {r[0]: r[1:] for r in d.groupBy(F.date_format(F.window("event_time", f"{n} seconds")["start"], "yyyy-MM-dd HH:mm:ss")).agg(*[F.count_distinct(c) for c in windows.SKETCHED.values()]).collect()}
+        got = {r["window_start"]: (r["src_ips"], r["dst_ips"], r["ports"]) for r in windows.distinct_rollup(stored, n).collect()}
+        assert got.keys() == want.keys() and all(abs(a - b) <= 0.05 * b for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_a_stream_gives_every_packet_once(spark, tmp_path):
+    rows = lambda *t: spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", i) for m, i in t], "t string, i int").select(F.col("t").cast("timestamp").alias("event_time"), "i")
+    states = []
+    for batch in (rows((0, 1), (0, 1), (0, 2)), rows((0, 1), (0, 3)), rows((10, 4), (10, 4)), rows((0, 5), (20, 6))):
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = src.once(spark.readStream.schema("event_time timestamp, i int").parquet(str(tmp_path / "in")), ("event_time", "i"))
+        q = sinks.start_sink(stream, lambda b, _: b.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "ck"), "append", None)
+        q.awaitTermination(60)
+        states.append([o for p in q.recentProgress for o in p.stateOperators])
+    assert sorted(r["i"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 6]
+    assert sum(o.numRowsDroppedByWatermark for o in states[-1]) == 1 and states[-1][-1].numRowsTotal <= 1
+    assert src.once(rows((0, 1), (0, 1)), ("event_time", "i")).count() == 1
