@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, trimmed
 
 BITS = 15
 DIM = 1 << BITS
@@ -166,7 +166,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["f", "n"])
 
-    got = texts.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(trimmed(run), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(DIM + 1, np.int64)
     df[got["f"].to_numpy()] = got["n"].to_numpy()
     return df[:DIM], int(df[DIM])
@@ -201,7 +201,7 @@ def sampled_features(docs: DataFrame, max_train: int) -> list[tuple[str, np.ndar
                     many.append(np.minimum(k, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(many, pa.binary())], ["lang", "order", "i", "k"])
 
-    got = chosen.mapInArrow(run, "lang string, order long, i binary, k binary").toArrow().to_pylist()
+    got = chosen.mapInArrow(trimmed(run), "lang string, order long, i binary, k binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["order"], r["lang"], r["i"], r["k"]))
     return [(r["lang"], np.frombuffer(r["i"], np.uint16), np.frombuffer(r["k"], np.uint16)) for r in got]
 
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Model, held_mod: int = 4, held_rest: int =
 
     held = F.coalesce(remainder(docs["doc_id"], held_mod) == held_rest, F.lit(False))
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held.alias("held_out"), docs["text"].alias("text"))
-    return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return d.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified_only(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFrame:
@@ -242,4 +242,4 @@ def identified_only(docs: DataFrame, model: Model, min_score: float = 0.4) -> Da
             names, scores = model.predict(batch.column(at))
             yield batch.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Words, mix64, pieces, written
+from .common import LOWER, UPPER, Words, mix64, pieces, trimmed, written
 from .components import components
 
 BANDS, ROWS, BITS = 24, 4, 2
@@ -79,7 +79,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), n, keys, lists(band_keys(mins)), lists(packed(mins))], ["doc_id", "n", "key", "bands", "sig"])
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return d.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sig array<long>")
+    return d.mapInArrow(trimmed(run), "doc_id long, n long, key binary, bands array<long>, sig array<long>")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -135,7 +135,7 @@ def with_sets(goes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     # A join by key at every size: a table that is small today must not decide how texts move.
     goes = goes.withColumnRenamed("doc_id", "rep")
     known = texts.filter("doc_id is not null").join(goes.filter("rep is not null").hint("merge"), F.col("doc_id") == F.col("rep"))
-    made = known.select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary")
+    made = known.select("c", "key", "at", "text").mapInArrow(trimmed(sets), "at long, c long, s binary")
     if not goes.filter("rep is null").take(1):
         return made
 
@@ -144,9 +144,9 @@ def with_sets(goes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             found = [set_key(s) if len(s) else None for s in shingle_sets(batch.column(0), k)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(0)], ["own", "text"])
 
-    nameless = texts.filter("doc_id is null").select("text").mapInArrow(keyed, "own binary, text string").dropDuplicates(["own"])
+    nameless = texts.filter("doc_id is null").select("text").mapInArrow(trimmed(keyed), "own binary, text string").dropDuplicates(["own"])
     nameless = nameless.join(goes.filter("rep is null").hint("merge"), F.col("own") == F.col("key"))
-    return made.unionByName(nameless.select("c", "key", "at", "text").mapInArrow(sets, "at long, c long, s binary"))
+    return made.unionByName(nameless.select("c", "key", "at", "text").mapInArrow(trimmed(sets), "at long, c long, s binary"))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -168,7 +168,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num
 
     made = written(with_sets(goes, docs, k), "minhash_sets")
     x, y = made.filter("c <> at").select(F.col("c").alias("a"), F.col("at").alias("b"), F.col("s").alias("x")), made.filter("c = at").select(F.col("c").alias("b"), F.col("s").alias("y"))
-    return x.join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return x.join(y, "b").select("a", "b", "x", "y").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def cell_links(c: np.ndarray, label: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
