@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sketches import priority
+
 WEIGHTS = ("packets", "bytes")
 #: A graph of at most so many edges is iterated in one task; beyond that, each iteration is a join.
 LOCAL_EDGES = 200_000
@@ -199,10 +201,67 @@ def stationary(e: DataFrame, weight: str = "packets", max_iter: int = 1000, tol:
     return e.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id string, rank double")
 
 
-def betweenness(e: DataFrame, weight: str = "packets", normalised: bool = True, most: int = BETWEENNESS_NODES) -> DataFrame:
+def sources_of(v: DataFrame, k: int | None, seed: int = 42) -> DataFrame:
+    """All vertices, or the ``k`` of least priority: the same sample in any engine and order."""
+    return v if k is None else v.orderBy(priority(F.col("id"), seed), "id").limit(k)
+
+
+def betweenness_by_joins(e: DataFrame, weight: str = "packets", k: int | None = None, normalised: bool = True, seed: int = 42) -> DataFrame:
+    """``betweenness`` of a graph of any size: all sources at once, by joins of their frontiers with the edges.
+
+    Distances first: a frontier holds the vertices that came nearer in the last round. Numbers of shortest paths then follow
+    the edges on such paths outward, dependencies follow them back; both need as many rounds as a path has edges. State
+    is (source, vertex) rows, ``k`` times the vertices at most, and each round of it is checkpointed; no edge list is collected.
+    """
+    spark = e.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    v = vertices_of(e).checkpoint()
+    n = v.count()
+    if n < 3:
+        return v.select("id", F.lit(0.0).alias("betweenness"))
+    length = F.lit(1.0) / F.greatest(F.coalesce(_weight(weight), F.lit(0.0)), F.lit(1.0))
+    step = e.filter("src <> dst").groupBy("src", "dst").agg(F.min(length).alias("far")).checkpoint()
+    begin = sources_of(v, k, seed).select(F.col("id").alias("s"), "id", F.lit(0.0).alias("d")).checkpoint()
+    state = front = begin
+    near = F.lit(1e-12)
+    while front.take(1):
+        came = front.join(step, front["id"] == step["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.min(F.col("d") + F.col("far")).alias("new"))
+        state = state.join(came, ["s", "id"], "full").withColumn("nearer", F.coalesce(F.col("new") < F.col("d") - near, F.col("d").isNull()))
+        state = state.select("s", "id", F.when(F.col("nearer"), F.col("new")).otherwise(F.col("d")).alias("d"), "nearer").checkpoint()
+        front = state.filter("nearer").select("s", "id", "d")
+        state = state.select("s", "id", "d")
+    a, b = state.select("s", F.col("id").alias("u"), F.col("d").alias("du")), state.select("s", "id", F.col("d").alias("dv"))
+    on = a.join(step, a["u"] == step["src"]).select("s", "u", F.col("dst").alias("id"), (F.col("du") + F.col("far")).alias("dv_u")).join(b, ["s", "id"])
+    on = on.filter((F.abs(F.col("dv_u") - F.col("dv")) <= near) & (F.col("id") != F.col("s"))).select("s", "u", "id").checkpoint()
+
+    def settled(start: DataFrame, round_: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(s, id, x) after rounds until none changes a value; values follow acyclic edges, so that happens."""
+        x = start
+        while True:
+            new = x.join(round_(x), ["s", "id"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)) + F.col("own")).checkpoint()
+            moved = new.filter("x <> y").take(1)
+            x = new.select("s", "id", "own", F.col("y").alias("x"))
+            if not moved:
+                return x.select("s", "id", "x")
+
+    one = F.when(F.col("s") == F.col("id"), 1.0).otherwise(0.0)
+    paths = settled(state.select("s", "id", one.alias("own"), one.alias("x")), lambda x: on.join(x.select("s", F.col("id").alias("u"), "x"), ["s", "u"]).groupBy("s", "id").agg(F.sum("x").alias("y"))).checkpoint()
+    share = on.join(paths.withColumnRenamed("x", "to"), ["s", "id"]).join(paths.select("s", F.col("id").alias("u"), F.col("x").alias("at")), ["s", "u"])
+    share = share.select("s", "u", "id", (F.col("at") / F.col("to")).alias("share")).checkpoint()
+    rest = settled(
+        state.select("s", "id", F.lit(0.0).alias("own"), F.lit(0.0).alias("x")),
+        lambda x: share.join(x, ["s", "id"]).groupBy("s", F.col("u").alias("id")).agg(F.sum(F.col("share") * (1 + F.col("x"))).alias("y")),
+    )
+    scale = (1.0 / ((n - 1) * (n - 2)) if normalised else 1.0) * (n / min(k, n) if k is not None else 1.0)
+    sums = rest.filter("s <> id").groupBy("id").agg((F.sum("x") * scale).alias("x"))
+    return v.join(sums, "id", "left").select("id", F.round(F.coalesce("x", F.lit(0.0)), 9).alias("betweenness"))
+
+
+def betweenness(e: DataFrame, weight: str = "packets", normalised: bool = True, most: int = BETWEENNESS_NODES, k: int | None = None, seed: int = 42) -> DataFrame:
     """(id, betweenness) by weighted shortest paths, an edge as long as 1 / max(weight, 1); zeros above ``most`` vertices.
 
-    Each source vertex is a group of its own, so sources run in parallel over a graph whose size was checked.
+    With ``k`` paths from a sample of so many sources, scaled up. See ``betweenness_by_joins`` for larger graphs. Each source vertex is a group of its own, so sources run in parallel over a graph whose size was checked.
     """
     _weight(weight)
     v = vertices_of(e)
@@ -222,8 +281,8 @@ def betweenness(e: DataFrame, weight: str = "packets", normalised: bool = True,
             for name in b["id"]:
                 yield pd.DataFrame({"id": names, "d": _dependencies(at[name], near)})
 
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalised else 1.0
-    return v.mapInPandas(run, "id string, d double").groupBy("id").agg(F.round(F.sum("d") * scale, 9).alias("betweenness"))
+    scale = (1.0 / ((n - 1) * (n - 2)) if normalised else 1.0) * (n / min(k, n) if k is not None else 1.0)
+    return sources_of(v, k, seed).mapInPandas(run, "id string, d double").groupBy("id").agg(F.round(F.sum("d") * scale, 9).alias("betweenness"))
 
 
 def _dependencies(s: int, near: list[list[tuple[int, float]]]) -> np.ndarray:

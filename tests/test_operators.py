@@ -463,3 +463,14 @@ def test_a_stream_gives_every_packet_once(spark, tmp_path):
     assert sorted(r["i"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 6]
     assert sum(o.numRowsDroppedByWatermark for o in states[-1]) == 1 and states[-1][-1].numRowsTotal <= 1
     assert src.once(rows((0, 1), (0, 1)), ("event_time", "i")).count() == 1
+
+
+@pytest.mark.parametrize("k", [None, 4])
+def test_betweenness_by_joins(spark, k):
+    """Ties of paths, two-way edges, loops and parts out of reach: as one source at a time."""
+    r = random.Random(12)
+    rows = {(f"v{r.randrange(11)}", f"v{r.randrange(11)}"): r.choice([1, 1, 2, 4]) for _ in range(34)} | {("x", "y"): 1, ("y", "z"): 1, ("x", "x"): 5}
+    e = edges(spark, [(a, b, w, w) for (a, b), w in rows.items()])
+    want = {x["id"]: x["betweenness"] for x in graph.betweenness(e, k=k).collect()}
+    got = {x["id"]: x["betweenness"] for x in graph.betweenness_by_joins(e, k=k).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 2e-9 for v in got) and sum(got.values()) > 0
