@@ -215,12 +215,12 @@ def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.session_metrics(packets(spark, sf_dir), 43200)
 
 
-@query(agg(DAY, "", f"""{SUMS}, count(*) FILTER (protocol = 'TCP') AS filter_tcp_only, count(*) FILTER (protocol = 'UDP') AS filter_udp_only, count(*) FILTER (dst_port = 53) AS filter_dns,
- count(*) FILTER (dst_port IN (80, 443)) AS filter_web, count(*) FILTER (packet_length > 1000) AS filter_large_packets"""))
+@query(agg(DAY, "", f"""{SUMS}, count(*) FILTER (protocol = 'TCP') AS filter_tcp_only, count(*) FILTER (protocol = 'UDP') AS filter_udp_only, count(*) FILTER (dst_port = 53) AS filter_dns_traffic,
+ count(*) FILTER (dst_port IN (80, 443)) AS filter_web_traffic, count(*) FILTER (packet_length > 1000) AS filter_large_packets, round(avg(packet_length), 6)::DOUBLE AS mean_len, round(var_samp(packet_length), 6)::DOUBLE AS var_len"""))
 def shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = windows.shared_scan(packets(spark, sf_dir), DAY)
-    d = d.withColumnsRenamed({"filter_dns_traffic": "filter_dns", "filter_web_traffic": "filter_web"})  # as the SQL names them
-    return d.drop("src_ip_hll", "dst_ip_hll", "dst_port_hll", "mean_len", "var_len")
+    """All but the estimates of distinct counts, which depend on the engine's hash."""
+    d = windows.shared_scan(packets(spark, sf_dir), DAY).drop("src_ip_hll", "dst_ip_hll", "dst_port_hll")
+    return d.withColumns({c: F.round(c, 6) for c in ("mean_len", "var_len")})
 
 
 # ------------------------------------------------------------------ sketches
@@ -424,6 +424,12 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.betweenness(graph.prune(reply_edges(spark, sf_dir), 60))
 
 
+@query()
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole graph, from 20 sources."""
+    return graph.betweenness_by_joins(reply_edges(spark, sf_dir), k=20)
+
+
 @query()
 def graph_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.analyse(reply_edges(spark, sf_dir), 80).withColumn("rank", F.round("rank", 9))
@@ -537,9 +543,9 @@ def generate_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{P} SELECT event_id FROM p WHERE event_id % 7 = 0")
 def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that the filter lets through; of 2**22 bits none here is set by chance."""
     d = packets(spark, sf_dir).select("event_id")
-    kept = membership.probe(d, "event_id", membership.bloom(d.filter("event_id % 7 = 0"), "event_id", 1 << 22), 1 << 22)
-    return kept.filter("event_id % 7 = 0")
+    return membership.probe(d, "event_id", membership.bloom(d.filter("event_id % 7 = 0"), "event_id", 1 << 22), 1 << 22)
 
 
 @query(f"{TE}, u AS (SELECT a.src, b.dst, sum(a.p * b.p) AS p FROM t a JOIN t b ON a.dst = b.src GROUP BY 1, 2) SELECT src, dst, round(p, 6) AS p FROM u")
