@@ -26,3 +26,12 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf() -> str:
     return SF
+
+
+@pytest.fixture(scope="module")
+def few_partitions(spark):
+    """For tests of many small batches, whose time is that of starting tasks."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)

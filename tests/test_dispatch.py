@@ -16,6 +16,9 @@ from packetloom.streaming import dispatch
 from packetloom.streaming.dispatch import Context, Dispatcher, Plugin
 
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
+
 def packets(spark, seed, n, first, last):
     r = random.Random(seed)
     t = sorted(r.uniform(first, last) for _ in range(n))
@@ -28,7 +31,7 @@ BATCHES = [(1, 120, 0, 45), (2, 260, 35, 110), (5, 3, 400, 401)]
 
 
 @pytest.fixture(scope="module")
-def fed(spark, tmp_path_factory):
+def fed(spark, few_partitions, tmp_path_factory):
     """A fan-out of all plugins and one that always fails, over three batches of which one comes again."""
     root = str(tmp_path_factory.mktemp("fan"))
     calls = []

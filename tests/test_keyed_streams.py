@@ -12,6 +12,7 @@ from packetloom.operators import itemsets, sketches
 from packetloom.streaming import keyed
 from packetloom.streaming.sinks import start_sink
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
 SCHEMA = "event_time timestamp, event_id long, src_ip string, dst_ip string, protocol string, dst_port int"
 BASE = 1_704_067_200
 

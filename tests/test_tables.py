@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.streaming import tables
 from packetloom.streaming.tables import Conflict, SnapshotTable
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
 SCHEMA = "window_start string, k string, v long, s string"
 
 
