@@ -22,3 +22,8 @@ def probe(df: DataFrame, item: str, sketch: DataFrame, bits: int = 1 << 20, hash
     d = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.explode(positions(F.col(item), bits, hashes)))
     d = d.join(sketch, F.shiftright("__p", 6) == F.col("word")).filter(F.call_function("getbit", F.col("mask"), F.pmod("__p", F.lit(64)).cast("int")) == 1)
     return d.groupBy("__id", *df.columns).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == hashes).select(*df.columns)
+
+
+def members(df: DataFrame, item: str, of: DataFrame, bits: int = 1 << 20, hashes: int = 5) -> DataFrame:
+    """Rows of ``df`` whose item is in ``of``: a filter of these drops most rows, and the few that it lets through by chance are found by the items themselves."""
+    return probe(df, item, bloom(of, item, bits, hashes), bits, hashes).join(of.select(item).distinct(), item, "left_semi").select(*df.columns)

@@ -287,6 +287,15 @@ def test_bloom_loses_nothing(spark):
     assert kept.filter("id < 1000").count() == 1000 and kept.filter("id >= 1000").count() < 60
 
 
+def test_members_are_exact_when_the_filter_is_full(spark):
+    a = spark.range(2000).select("id", F.col("id").cast("string").alias("item")).unionByName(spark.createDataFrame([(0, "0"), (9999, None)], "id long, item string"))
+    of = a.filter("id % 7 = 0")
+    assert membership.probe(a, "item", membership.bloom(of, "item", 1 << 10), 1 << 10).count() > of.count()
+    kept = membership.members(a, "item", of, 1 << 10)
+    assert kept.columns == a.columns and sorted(r["id"] for r in kept.collect()) == sorted([0, *range(0, 2000, 7)])
+
+
+
 def test_serving(spark, tmp_path):
     m = spark.createDataFrame([("2024-01-01 00:00:00", 10, 1.0), ("2024-01-01T00:00:10Z", 10, None)], "window_start string, window_len_s int, pps double")
     db = str(tmp_path / "s.db")
