@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import net
 from packetloom.operators import alerts, cleaning, graph, history, itemsets, membership, sketches, windows
-from packetloom.plans import registry
+from packetloom.plans import catalogue, registry
 from packetloom.schema import COLUMNS
 from packetloom.sources import packets as src
 from packetloom.sources import serving
@@ -287,6 +287,24 @@ def test_bloom_loses_nothing(spark):
     assert kept.filter("id < 1000").count() == 1000 and kept.filter("id >= 1000").count() < 60
 
 
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """Events of users past 65535, whose third octet in ``packets_of`` is over 255."""
+    root = str(tmp_path_factory.mktemp("users"))
+    rows = [(i, u) for i, u in enumerate((0, 255, 65535, 65536, 80000, 300000, 16777215), 59)]
+    d = spark.createDataFrame(rows, "event_id long, user_id long")
+    d.select("event_id", F.timestamp_seconds(F.lit(1704067200) + F.col("event_id")).alias("ts"), "user_id", F.lit("click").alias("event_type"), F.lit(5.0).alias("value"), F.lit('{"k": 7}').alias("props")).write.parquet(f"{root}/events.parquet")
+    return root
+
+
+def test_many_users_have_private_addresses(spark, many_users):
+    d = src.from_events(spark, many_users).select(src.in_ten(F.col("src_ip")).alias("ip"))
+    want = ["10.0.0.0", "10.0.0.255", "10.0.255.255", "10.1.0.0", "10.1.56.128", "10.4.147.224", "10.255.255.255"]
+    assert sorted(r["ip"] for r in d.collect()) == sorted(want)
+    assert [tuple(r) for r in catalogue.ip_classes(spark, many_users).collect()] == [("private", "private", 7)]
+
+
+
 def test_members_are_exact_when_the_filter_is_full(spark):
     a = spark.range(2000).select("id", F.col("id").cast("string").alias("item")).unionByName(spark.createDataFrame([(0, "0"), (9999, None)], "id long, item string"))
     of = a.filter("id % 7 = 0")
