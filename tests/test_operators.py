@@ -305,6 +305,12 @@ def test_many_users_have_private_addresses(spark, many_users):
 
 
 
+def test_many_users_send_no_bad_addresses(spark, many_users):
+    """Rows 59 to 65: 62 has no ends, and no other rule is broken."""
+    assert sorted(map(tuple, catalogue.reject_reasons(spark, many_users).collect())) == [("BAD_TIMESTAMP", 1), ("OK", 6)]
+
+
+
 def test_members_are_exact_when_the_filter_is_full(spark):
     a = spark.range(2000).select("id", F.col("id").cast("string").alias("item")).unionByName(spark.createDataFrame([(0, "0"), (9999, None)], "id long, item string"))
     of = a.filter("id % 7 = 0")
