@@ -484,6 +484,17 @@ def test_longer_windows_from_stored_sketches(spark, tmp_path):
         assert got.keys() == want.keys() and all(abs(a - b) <= 0.05 * b for k in want for a, b in zip(got[k], want[k], strict=True))
 
 
+def test_longer_windows_are_counted_exactly(spark):
+    """More items a window than a sketch tells apart, an item in several windows, and a window without any port."""
+    d = spark.range(60_000).select(F.timestamp_micros(F.col("id") * 1000).alias("event_time"), (F.col("id") % 29_000).cast("string").alias("src_ip"), (F.col("id") % 77).cast("string").alias("dst_ip"), F.when(F.col("id") < 30_000, F.col("id") % 5).alias("dst_port"))
+    stored = windows.distinct_items(d, 10)
+    for n in (10, 30, 60):
+        want = d.groupBy(F.date_format(F.window("event_time", f"{n} seconds")["start"], "yyyy-MM-dd HH:mm:ss").alias("w")).agg(*[F.count_distinct(c) for c in windows.SKETCHED.values()])
+        assert sorted(map(tuple, windows.exact_rollup(stored, n).drop("window_len_s").collect())) == sorted(map(tuple, want.collect()))
+    assert {r["ports"] for r in windows.exact_rollup(stored, 30).collect()} == {0, 5}
+
+
+
 def test_a_stream_gives_every_packet_once(spark, tmp_path):
     rows = lambda *t: spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", i) for m, i in t], "t string, i int").select(F.col("t").cast("timestamp").alias("event_time"), "i")
     states = []
