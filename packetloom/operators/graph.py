@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,11 +91,78 @@ def surprise(e: DataFrame, weight: str = "packets") -> DataFrame:
     return transitions(e, weight).select("src", "dst", F.round(-F.log2("p"), 6).alias("surprise"))
 
 
-def two_step(e: DataFrame, weight: str = "packets") -> DataFrame:
-    """Probabilities of two steps: the sparse matrix times itself."""
+#: Entries of the Markov matrix on each side of a block of its square; products that a task adds up at a time.
+STEP_EDGES, STEP_PRODUCTS = 1 << 19, 1 << 22
+
+
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... of size[0] numbers, then those of lo[1], and so on."""
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+def _block_square(t: pa.Table, products: int = STEP_PRODUCTS) -> Iterator[pa.RecordBatch]:
+    """(src, dst, p) of one block from its steps (side, end, via, p): side 0 goes from end to via, side 1 from via to end.
+
+    Sources are taken a few at a time; sums are kept by place, and no product is ever a row.
+    """
+    via, end = (t[c].combine_chunks().dictionary_encode() for c in ("via", "end"))
+    side, p = t["side"].to_numpy(), t["p"].to_numpy()
+    v, e = via.indices.to_numpy(), end.indices.to_numpy()
+    first, second = side == 0, side == 1
+    dsts, d = np.unique(e[second], return_inverse=True)
+    order = np.argsort(v[second], kind="stable")
+    d, p2, v2 = d[order], p[second][order], v[second][order]
+    order = np.argsort(e[first], kind="stable")
+    e1, v1, p1 = e[first][order], v[first][order], p[first][order]
+    lo = np.searchsorted(v2, v1)
+    size = np.searchsorted(v2, v1, "right") - lo
+    e1, p1, lo, size = (x[size > 0] for x in (e1, p1, lo, size))
+    if not len(e1):
+        return
+    srcs, s = np.unique(e1, return_inverse=True)
+    done = np.concatenate(([0], np.cumsum(np.bincount(s, size))))
+    at = np.concatenate((np.searchsorted(s, np.arange(len(srcs))), [len(s)]))
+    i = 0
+    while i < len(srcs):
+        most = max(1, products // len(dsts))
+        k = min(max(i + 1, int(np.searchsorted(done, done[i] + products, "right")) - 1), i + most, len(srcs))
+        sums = np.zeros((k - i) * len(dsts))
+        a = at[i]
+        while a < at[k]:  # one source may have more products than fit: its steps are added up in turn
+            b = max(a + 1, min(at[k], a + int(np.searchsorted(np.cumsum(size[a : at[k]]), products, "right"))))
+            n = size[a:b]
+            j = _ranges(lo[a:b], n)
+            sums += np.bincount(np.repeat((s[a:b] - i) * len(dsts), n) + d[j], np.repeat(p1[a:b], n) * p2[j], len(sums))
+            a = b
+        hit = np.flatnonzero(sums)
+        for c in range(0, len(hit), 1 << 16):
+            x, y = np.divmod(hit[c : c + (1 << 16)], len(dsts))
+            names = [end.dictionary.take(pa.array(q)) for q in (srcs[i + x], dsts[y])]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(sums[hit[c : c + (1 << 16)]])], ["src", "dst", "p"])
+        i = k
+
+
+def two_step(e: DataFrame, weight: str = "packets", block: int = STEP_EDGES) -> DataFrame:
+    """Probabilities of two steps: the sparse matrix times itself.
+
+    First steps are dealt by source, second steps by destination, over blocks of about ``block`` steps; each pair of
+    blocks is one group, which makes all products of its sources and destinations and adds them up in place. Products
+    are many more than steps or results and are never shuffled; a step moves once for each block of the other side.
+    """
     t = transitions(e, weight)
-    a, b = t.select("src", F.col("dst").alias("via"), F.col("p").alias("p1")), t.select(F.col("src").alias("via"), "dst", F.col("p").alias("p2"))
-    return a.join(b, "via").groupBy("src", "dst").agg(F.round(F.sum(F.col("p1") * F.col("p2")), 6).alias("p"))
+    n = max(1, -(-t.count() // block))
+    blocks = F.array(*map(F.lit, range(n)))
+
+    def side(k: int, end: str, via: str) -> DataFrame:
+        own, other = F.pmod(F.xxhash64(end), F.lit(n)).cast("int"), F.explode(blocks)
+        d = t.select(F.lit(k).alias("side"), F.col(end).alias("end"), F.col(via).alias("via"), "p", own.alias("own"), other.alias("other"))
+        return d.select(F.col("own" if k == 0 else "other").alias("i"), F.col("other" if k == 0 else "own").alias("j"), "side", "end", "via", "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _block_square(pa.Table.from_batches(list(batches)))
+
+    both = side(0, "src", "dst").unionByName(side(1, "dst", "src"))
+    return both.groupBy("i", "j").applyInArrow(run, "src string, dst string, p double").select("src", "dst", F.round("p", 6).alias("p"))
 
 
 def heatmap(e: DataFrame, k: int = 20, weight: str = "packets") -> DataFrame:

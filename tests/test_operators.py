@@ -7,6 +7,7 @@ import hmac
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,6 +312,34 @@ def test_many_users_send_no_bad_addresses(spark, many_users):
 
 
 
+@pytest.mark.parametrize("block", [1 << 19, 7])
+def test_two_steps_in_blocks(spark, block):
+    """The matrix squared: loops, dangling ends and a vertex that many steps pass."""
+    r = random.Random(5)
+    rows = {(f"v{r.randrange(9)}", f"v{r.randrange(12)}"): r.randrange(1, 6) for _ in range(50)} | {(f"a{i}", "hub"): 1 for i in range(20)} | {("hub", f"b{i}"): 2 for i in range(20)}
+    out = {}
+    for (a, _), n in rows.items():
+        out[a] = out.get(a, 0) + n
+    want = {}
+    for (a, b), n in rows.items():
+        for (c, d), m in rows.items():
+            if b == c:
+                want[a, d] = want.get((a, d), 0) + n / out[a] * m / out[c]
+    found = graph.two_step(edges(spark, [(a, b, n, n) for (a, b), n in rows.items()]), block=block)
+    got = [(x["src"], x["dst"], x["p"]) for x in found.collect()]
+    assert len(got) == len(want) and all(abs(p - want[a, b]) < 1e-6 for a, b, p in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # products are no rows
+
+
+def test_two_steps_of_more_products_than_a_task_adds_up_at_once():
+    side, end, via = [0] * 6 + [1] * 6, [*"xxxyyz", *"pqpqpr"], [*"abcabd", *"aabbcc"]
+    t = pa.table({"side": pa.array(side, pa.int32()), "end": end, "via": via, "p": [float(i + 1) for i in range(12)]})
+    whole, few = (sorted(x for b in graph._block_square(t, n) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) for n in (1 << 22, 1))
+    assert whole == few == [("x", "p", 1 * 7.0 + 2 * 9 + 3 * 11), ("x", "q", 1 * 8.0 + 2 * 10), ("x", "r", 3 * 12.0), ("y", "p", 4 * 7.0 + 5 * 9), ("y", "q", 4 * 8.0 + 5 * 10)]
+
+
+
 def test_members_are_exact_when_the_filter_is_full(spark):
     a = spark.range(2000).select("id", F.col("id").cast("string").alias("item")).unionByName(spark.createDataFrame([(0, "0"), (9999, None)], "id long, item string"))
     of = a.filter("id % 7 = 0")
