@@ -35,6 +35,7 @@ UTC = pa.timestamp("us", tz="UTC")
 def keep_state_in_rocksdb(spark: SparkSession) -> SparkSession:
     """Keyed state with timers needs this store; queries that began with another keep theirs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")  # all stores of an executor share a bounded cache
     return spark
 
 
@@ -162,14 +163,16 @@ def stream_sketches(df: DataFrame, length_s: int = 10, watermark_s: int = 30, ha
 
 # ------------------------------------------------------------------ rolling itemsets
 ITEMS = "shard int, src_ip string, slice long, item string"
+#: Cells that the sources of a shard are dealt over; a worker holds the baskets of one cell at a time.
+CELLS = 128
 COUNTED = "window_start string, itemset string, size int, c long"
 
 
-def basket_parts(df: DataFrame, slice_s: int, shards: int) -> DataFrame:
-    """Distinct (source, slice, item) of each batch of rows of a task, with the shard of the source."""
+def basket_parts(df: DataFrame, slice_s: int, shards: int, cells: int = CELLS) -> DataFrame:
+    """Distinct (source, slice, item) of each batch of rows of a task, with the cell of the source: ``cells`` to a shard."""
     item = F.concat_ws(":", F.coalesce("protocol", F.lit("UNKNOWN")), F.col("dst_port").cast("string"))
     at = (F.floor(F.unix_seconds("event_time") / slice_s) * slice_s).cast("long")
-    d = df.filter("src_ip is not null and event_time is not null").select(F.pmod(F.xxhash64("src_ip"), F.lit(shards)).cast("int").alias("shard"), "src_ip", at.alias("slice"), item.alias("item"))
+    d = df.filter("src_ip is not null and event_time is not null").select(F.pmod(F.xxhash64("src_ip"), F.lit(shards * cells)).cast("int").alias("shard"), "src_ip", at.alias("slice"), item.alias("item"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +261,7 @@ class Rolling:
 
 
 class RollingItemsets(StatefulProcessor):
-    """A shard of sources: baskets enter as they come, leave by timer; a window's counts are given when it is closed."""
+    """A cell of sources: baskets enter as they come, leave by timer; a window's counts are given when it is closed."""
 
     def __init__(self, window_s: int, slide_s: int):
         self.window_s, self.slide_s = window_s, slide_s
@@ -298,9 +301,10 @@ class RollingItemsets(StatefulProcessor):
 
 
 def stream_itemset_counts(df: DataFrame, window_s: int = 60, slide_s: int = 10, slice_s: int = 1, watermark_s: int = 30, shards: int = 64) -> DataFrame:
-    """Stream, update mode: by shard of sources, the counts of items and pairs of each closed window; size 0 is the number of baskets.
+    """Stream, update mode: by cell of sources, the counts of items and pairs of each closed window; size 0 is the number of baskets.
 
-    All shards give a window in the same micro-batch, that in which the watermark passes its end.
+    Each of the ``shards`` is dealt over CELLS cells, whose state is loaded one after another, so that a worker's memory is
+    that of one cell. All cells give a window in the same micro-batch, that in which the watermark passes its end.
     """
     if window_s % slide_s or slide_s % slice_s:
         raise ValueError("slices must divide the slide, and that the window")

@@ -90,6 +90,15 @@ def test_rolling_itemsets_equal_the_batch(spark, tmp_path, shards):
     assert f.states[-1][-1].numRowsTotal <= 3 * shards
 
 
+def test_no_state_of_rolling_itemsets_holds_a_shard(spark):
+    """Sources of one shard are dealt over cells, of which each has its own state."""
+    d = frame(spark, [(BASE + i, i, f"10.0.{i // 250}.{i % 250}", "x", "TCP", 1) for i in range(2000)])
+    cells = keyed.basket_parts(d, 1, 1).groupBy("shard").count().collect()
+    assert len(cells) > 0.9 * keyed.CELLS and max(r["count"] for r in cells) < 2000 / 16
+    assert keyed.basket_parts(d, 1, 1).groupBy("src_ip").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
+
+
+
 def test_rolling_counts_follow_every_change():
     """Baskets in any order, with restarts, against counting from scratch."""
     r = random.Random(8)
